@@ -9,8 +9,11 @@ from ._util import table
 from .decontaminate import find_phrases, word_count
 from .langid import fit, held_out, identify
 from .packing import pack_documents
+from .pii import pseudonymize
 from .simhash import near_duplicates
 
+#: A deployment passes its own secret; surrogates can be recomputed only with it.
+SURROGATE_KEY = "example-key"
 WORD_TOKENIZER = "word_bpe_49k.json"
 
 
@@ -49,5 +52,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op7_langid": op7_langid, "op9_decontaminate": op9_decontaminate}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    kinds = F.array_join(F.transform("entities", lambda e: e["kind"]), ",")
+    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op7_langid": op7_langid, "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
