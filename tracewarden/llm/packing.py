@@ -16,6 +16,7 @@ import os
 from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator, Sequence
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -32,24 +33,27 @@ class ChunkEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer's pre-tokenizer never joins characters across a space or a line feed, and its normaliser composes
-    nothing with them, so a text's ids are those of its chunks between them, in order. It also ends a token between a
-    letter and a full stop or comma, and lower-cases. So plain words, without case and final punctuation, are encoded
-    many at a time; other chunks one by one. Both are kept until there are ``keep`` chunks.
+    nothing with them, so a text's ids are those of its chunks between them, in order. It also ends a token between
+    letters and the punctuation after them, and lower-cases. So plain words, without case and final punctuation, are
+    encoded many at a time; other chunks one by one. Both are kept until there are ``keep`` chunks.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = True
+        # for words of lower-case letters alone, the normaliser and the pre-tokenizer's pattern have nothing to do
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.keep = keep
         self.known: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
-        self.marks = {c: next(self._each([c])) for c in ".,"}
+        self.marks: dict[str, bytes] = {"": b""}
 
     @classmethod
     def at(cls, path: str) -> ChunkEncoder:
@@ -67,7 +71,7 @@ class ChunkEncoder:
         """A plain word is one pre-token, whose last id alone ends a word, so words encoded together come apart again."""
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part) and cuts[-1] == len(ids):
                 raw, bounds = ids.tobytes(), [0, *(cuts * 4).tolist()]
@@ -78,20 +82,22 @@ class ChunkEncoder:
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
         if len(self.known) > self.keep:
-            self.known, self.words = {"": b""}, {}
+            self.known, self.words, self.marks = {"": b""}, {}, {"": b""}
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         known, words, marks = self.known, self.words, self.marks
         stems, others = [], []
         for c in set().union(*split).difference(known):
-            stem, mark = (c[:-1], marks[c[-1]]) if c[-1] in marks else (c, b"")
+            stem = c.rstrip(punctuation)
             # below U+0100 a letter's lower case is one letter, and composing changes nothing
             if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
-                stems.append((c, stem.lower(), mark))
+                stems.append((c, stem.lower(), c[len(stem) :]))
             else:
                 others.append(c)
         self._learn(list({w for _, w, _ in stems}.difference(words)))
+        ends = list({m for _, _, m in stems}.difference(marks))
+        marks.update(zip(ends, self._each(ends), strict=True))
         known.update(zip(others, self._each(others), strict=True))
-        known.update([(c, words[w] + m) for c, w, m in stems])
+        known.update([(c, words[w] + marks[m] if m else words[w]) for c, w, m in stems])
         out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
         for c in others:
             if len(c) > 64:
@@ -126,9 +132,9 @@ class TierPacker:
             start += top
         if start < total:
             self._route(doc_id, ids, start, total, total)
-        while self.n_pending > self.pool:
+        while self.n_pending > self.pool and self.ids_pending >= self.tiers[0]:
             most = max(self.tiers, key=lambda t: len(self.pending[t]))
-            self._fill(max(t for t in self.tiers if t <= max(min(most, self.ids_pending), self.tiers[0])))
+            self._fill(max(t for t in self.tiers if t <= max(self.tiers[0], min(most, self.ids_pending))))
         if len(self.windows) >= self.groups * self.per_group:
             yield from self._deal()
 
