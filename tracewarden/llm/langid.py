@@ -173,8 +173,8 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, net: ByteNet | None, text_col: str = "text", min_score: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language, predicted with at least ``min_score``."""
+def keep_identified(docs: DataFrame, net: ByteNet | None, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language, predicted with at least ``min_score`` (0: a short text is kept however unsure)."""
     model, place = docs.sparkSession.sparkContext.broadcast(net), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
