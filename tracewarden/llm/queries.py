@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lm_score
 from ._util import table
+from .chat import format_tree, read_tree
 from .decontaminate import find_phrases, word_count
+from .html_text import extract
 from .langid import fit, held_out, identify
+from .licenses import scan_licenses
+from .media import encode_texts, index
 from .packing import pack_documents
 from .pii import pseudonymize
 from .simhash import near_duplicates
@@ -33,12 +38,59 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.fit(docs))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = index(encode_texts(table(spark, sf_dir, "documents")), read_back=True)
+    track = F.get("tracks", 0)
+    frames = F.transform(track["keyframes"], lambda k: F.concat_ws("+", k["offset"].cast("string"), k["size"].cast("string")))
+    first = F.array_join(F.slice(frames, 1, 1), "")
+    feature = F.concat_ws("|", track["codec"], track["handler"], track["timescale"].cast("string"), track["duration"].cast("string"), track["samples"].cast("string"), F.size(frames).cast("string"), first, F.sha2(F.array_join(frames, ",").cast("binary"), 256))
+    return files.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema))
+    read = read_tree(format_tree(rows))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs.where(~held_out())))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -58,5 +110,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op7_langid": op7_langid, "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii}
+QUERIES = {q.__name__: q for q in (op1_packing, op2_simhash, op3_lm_score, op4_media, op5_chat, op6_html, op7_langid, op8_licenses, op9_decontaminate, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
