@@ -67,6 +67,34 @@ def test_proximity(spark):
     assert got == {1: (["7"], []), 2: ([], ["7"]), 3: ([], ["7"]), 4: ([], []), 5: ([], ["7"])}
 
 
+def slow_near(text, items, terms, slop, window=10):
+    ws, out = split(text), set()
+    for item, t in items:
+        words = split(t)
+        for k in range(len(words) - window + 1):
+            w = words[k : k + window]
+            if any(sum(x in ws[s : s + window + slop] for x in w) >= terms for s in range(len(ws))):
+                out.add(str(item))
+    return out
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(rng.sample(vocabulary, 12))) for k in range(25)] + [(30, "w1 w1 w2 w2 w3 w3 w4 w4 w5 w5")]
+    docs = []
+    for d in range(60):
+        base = rng.choice(items)[1].split()[: rng.randint(8, 12)]
+        rng.shuffle(base)
+        for _ in range(rng.randint(0, 7)):
+            base.insert(rng.randrange(len(base)), rng.choice(vocabulary + ["zz"]))
+        docs.append((d, " ".join([rng.choice(vocabulary) for _ in range(20)] + base)))
+    found = find_phrases(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), near_terms=8, slop=3).collect()
+    exact = {d: set(i) for d, _, _, i in slow(docs, items)}
+    want = {d: slow_near(t, items, 8, 3) - exact[d] for d, t in docs}
+    assert {r.doc_id: set(r.near_items) for r in found} == want and sum(map(len, want.values())) > 10
+
+
 def test_nulls_repeats_empties_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, None, "s"), (1, "a b", "s"), (1, "a b", "s"), (None, "A b!", "s")], "doc_id long, text string, spans string")
     items = spark.createDataFrame([(None, "a b", 1), (4, "a B", 1)], "item_id long, text string, words int")

@@ -94,34 +94,37 @@ class Segment:
         return w, start
 
     def near(self, windows: np.ndarray, terms: int, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, document) where ``terms`` of the window's words lie within its length and ``slop`` more.
+        """(window, document) where at least ``terms`` of the window's words occur within ``slop`` words more than its length.
 
-        At most len - terms words are missing, so one of the len - terms + 1 rarest is there to start from.
+        At most len - terms words are missing, so one of the len - terms + 1 rarest is there to start from. What lies
+        within reach of it is a first sieve; then every span around it is tried.
         """
         size = windows.shape[1]
+        span = size + slop
         rare = np.argsort(self.counts[windows], axis=1, kind="stable")
-        found_w, found_d = [], []
+        found_w, found_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for r in range(size - terms + 1):
-            offset = rare[:, r]
-            term = windows[np.arange(len(windows)), offset]
+            term = windows[np.arange(len(windows)), rare[:, r]]
             n = self.counts[term]
-            if not n.sum():
-                continue
             places, ws = self.places[ragged(self.heads[term], n)], np.repeat(np.arange(len(windows)), n)
-            for k in range(0, len(ws), 100_000):
-                w, p = ws[k : k + 100_000], places[k : k + 100_000]
+            for k in range(0, len(ws), 50_000):
+                w, p = ws[k : k + 50_000], places[k : k + 50_000]
                 doc = self.doc_of(p)
                 lo, hi = self.starts[doc], self.starts[doc] + self.sizes[doc]
-                left = p - np.repeat(offset, n)[k : k + 100_000] - slop // 2
-                hits = np.zeros(len(w), np.int64)
-                around = left[:, None] + np.arange(size + slop)
+                around = (p - span + 1)[:, None] + np.arange(2 * span - 1)
                 seen = np.where((around >= lo[:, None]) & (around < hi[:, None]), self.ids[np.clip(around, 0, len(self.ids) - 1)], -1)
+                hits = np.zeros(len(w), np.int64)
                 for c in range(size):
                     hits += (seen == windows[w, c][:, None]).any(axis=1)
-                keep = hits >= terms
-                found_w.append(w[keep])
-                found_d.append(doc[keep])
-        return (np.concatenate(found_w), np.concatenate(found_d)) if found_w else (np.zeros(0, int), np.zeros(0, int))
+                left = np.flatnonzero(hits >= terms)
+                most = np.zeros((len(left), span), np.int64)
+                for c in range(size):
+                    until = np.cumsum(np.pad(seen[left] == windows[w[left], c][:, None], ((0, 0), (1, 0))), axis=1)
+                    most += until[:, span:] > until[:, :span]
+                left = left[most.max(axis=1, initial=0) >= terms]
+                found_w.append(w[left])
+                found_d.append(doc[left])
+        return np.concatenate(found_w), np.concatenate(found_d)
 
 
 def search(texts: list[bytes | None], phrases: PhraseSet, near_terms: int | None, slop: int) -> tuple[np.ndarray, list, list, list]:
@@ -176,8 +179,8 @@ def find_phrases(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """A row for each row of ``docs``, columns as in SCHEMA.
 
     ``spans`` are the merged word ranges inside exact occurrences of any window; ``items`` the sorted ids (as strings)
-    of the items with such windows; ``near_items`` those others of which ``near_terms`` words of a window lie within its
-    length and ``slop`` words more (None: not sought). An item shorter than ``window`` is one window; of one without
+    of the items with such windows; ``near_items`` those others of which at least ``near_terms`` words of a window lie, in
+    any order, within ``slop`` words more than its length (None, or not less than its length: not sought). An item shorter than ``window`` is one window; of one without
     words, or null, there is none. Null documents have no words. Rows with the same item id are one item. Repeated
     documents are kept, other columns ignored; an empty table on either side gives no match.
 

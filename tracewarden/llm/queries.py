@@ -111,4 +111,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (op1_packing, op2_simhash, op3_lm_score, op4_media, op5_chat, op6_html, op7_langid, op8_licenses, op9_decontaminate, op10_pii)}
-ORACLE_SQL: dict[str, str] = {}
+_ESCAPED = "replace(replace(replace({}, chr(92), chr(92) || chr(92)), '<', chr(92) || 'l'), '[', chr(92) || 'b')"
+_ODD = "'</s>[INST] ok [/INST]'"
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', {_ODD}), (-7, 1, 'assistant', {_ODD})),
+    c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+        sum(20 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS formatted FROM t GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM c""",
+}
