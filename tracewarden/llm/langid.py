@@ -2,7 +2,8 @@
 
 A text's UTF-8 bytes are cut into windows of fixed length, the last one padded with zeros. Filters of several widths
 slide over a window's bytes, each filter keeps its largest value (max pooling), and a softmax over these values gives
-the window's languages. A text's score sums its windows' log-probabilities, weighted by their bytes.
+the window's languages. A text's probabilities are the mean of its windows', weighted by their bytes, so that in a text
+of several languages the one with most of it wins.
 
 The input to a filter is a byte's one-hot vector, so a filter is a table of 256 values for each of its places. To apply
 it, pairs of places are summed into tables over byte pairs, and a window is looked up in them.
@@ -147,8 +148,7 @@ def predict(net: ByteNet | None, texts: list[str | None]) -> tuple[list[str], li
         first = np.cumsum(counts) - counts
         used = np.full(len(x), net.window, float)
         used[first + counts - 1] = [len(t) - (int(n) - 1) * net.window for t, n in zip(raw, counts, strict=True)]
-        total = np.add.reduceat(net.log_probabilities(x) * (used / net.window)[:, None], first, axis=0)
-        p = np.exp(total - total.max(axis=1, keepdims=True))
+        p = np.add.reduceat(np.exp(net.log_probabilities(x)) * used[:, None], first, axis=0)
         p /= p.sum(axis=1, keepdims=True)
         for k, best, score in zip(known, p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), strict=True):
             names[k], scores[k] = net.languages[best], score
