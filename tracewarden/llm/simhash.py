@@ -146,15 +146,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return each.join(rooted.join(groups, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+#: At most so many ids, eight bytes each, are sent to every executor.
+BROADCAST_IDS = 500_000
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that with the least id, once.
 
-    A document without an id can't be told from others of its kind and stays.
+    A document without an id can't be told from others of its kind and stays. Texts stay where they are if the ids that
+    go are few enough to be broadcast, which is checked; else they are shuffled once.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col))
-    out = docs.join(kept.distinct(), id_col, "left_semi")
-    if not kept.groupBy(id_col).count().where("count > 1").isEmpty():  # repeated rows
+    found = cut(near_duplicates(docs, id_col, text_col))
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti")
+    kept = found.where("doc_id = component_id")
+    if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows
         rank = Window.partitionBy(id_col).orderBy(*[c for c in docs.columns if c != id_col])
-        out = out.withColumn("__rank", F.row_number().over(rank)).where("__rank = 1").drop("__rank")
-    return out.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+        numbered = out.where(F.col(id_col).isNotNull()).withColumn("__rank", F.row_number().over(rank)).where("__rank = 1").drop("__rank")
+        out = numbered.unionByName(out.where(F.col(id_col).isNull()))
+    return out.select(docs.columns)
