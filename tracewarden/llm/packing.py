@@ -35,10 +35,11 @@ class ChunkEncoder:
     The tokenizer's pre-tokenizer never joins characters across a space or a line feed, and its normaliser composes
     nothing with them, so a text's ids are those of its chunks between them, in order. It also ends a token between
     letters and the punctuation after them, and lower-cases. So plain words, without case and final punctuation, are
-    encoded many at a time; other chunks one by one. Both are kept until there are ``keep`` chunks.
+    encoded many at a time; other chunks one by one. All are kept until there are ``keep``; then those of the last texts
+    alone, which hold the frequent ones.
     """
 
-    def __init__(self, path: str, keep: int = 900_000):
+    def __init__(self, path: str, keep: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -52,7 +53,6 @@ class ChunkEncoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.keep = keep
         self.known: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
 
     @classmethod
@@ -75,36 +75,51 @@ class ChunkEncoder:
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part) and cuts[-1] == len(ids):
                 raw, bounds = ids.tobytes(), [0, *(cuts * 4).tolist()]
-                self.words.update(zip(part, map(raw.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
+                self.known.update(zip(part, map(raw.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
             else:
-                self.words.update(zip(part, self._each(part), strict=True))
+                self.known.update(zip(part, self._each(part), strict=True))
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
-        if len(self.known) > self.keep:
-            self.known, self.words, self.marks = {"": b""}, {}, {"": b""}
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known, words, marks = self.known, self.words, self.marks
-        stems, others = [], []
-        for c in set().union(*split).difference(known):
+        split = [_lowered(t or "").replace("\n", " ").split(" ") for t in texts]
+        known, marks = self.known, self.marks
+        seen = set().union(*split)
+        words, plain, others = [], [], []
+        for c in seen.difference(known):
             stem = c.rstrip(punctuation)
             # below U+0100 a letter's lower case is one letter, and composing changes nothing
             if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
-                stems.append((c, stem.lower(), c[len(stem) :]))
+                words.append(c)
+                plain.append(stem.lower())
             else:
                 others.append(c)
-        self._learn(list({w for _, w, _ in stems}.difference(words)))
-        ends = list({m for _, _, m in stems}.difference(marks))
-        marks.update(zip(ends, self._each(ends), strict=True))
+        self._learn(list(set(plain).difference(known)))
         known.update(zip(others, self._each(others), strict=True))
-        known.update([(c, words[w] + marks[m] if m else words[w]) for c, w, m in stems])
+        for c, w in zip(words, plain, strict=True):
+            if c != w:
+                mark = c[len(w) :]
+                if mark not in marks:
+                    marks[mark] = next(self._each([mark]))
+                known[c] = known[w] + marks[mark]
         out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        if len(known) > self.keep:
+            self.known = {c: known[c] for c in seen} | {"": b""}
+            self.marks = {"": b""}
         for c in others:
             if len(c) > 64:
-                del known[c]
+                self.known.pop(c, None)
         return out
 
 
+def _lowered(text: str) -> str:
+    """``text``, in lower case if it has no character from U+0100 on: the tokenizer does no more to the case of such a text."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class TierPacker:
     """Packs the documents of one task. ``add`` and ``finish`` yield rows of SCHEMA."""
 
