@@ -18,11 +18,11 @@ def _cut(df: DataFrame) -> DataFrame:
 def learned_at(events: DataFrame, agents: DataFrame, host: str = "host", seq: str = "seq", pid: str = "pid", ppid: str = "ppid") -> DataFrame:
     """(host, pid, t): the arrival number at which a pid became known as an agent (-1) or a descendant of one.
 
-    A pid is learned from its first event after its parent was learned. Each round extends what the round before added,
+    ``agents`` has columns host and pid. A pid is learned from its first event after its parent was learned. Each round extends what the round before added,
     so there are as many rounds as generations; a pid's events never meet in one place but for a minimum.
     """
     edges = events.select(F.col(host).alias("host"), F.col(pid).alias("pid"), F.col(ppid).alias("ppid"), F.col(seq).alias("seq")).where("pid is not null and ppid is not null and pid != ppid")
-    known = _cut(agents.select(F.col(host).alias("host"), F.col(pid).alias("pid")).distinct().withColumn("t", F.lit(-1).cast("long")))
+    known = _cut(agents.select("host", "pid").distinct().withColumn("t", F.lit(-1).cast("long")))
     front = known
     while True:
         parents = front.select("host", F.col("pid").alias("ppid"), F.col("t").alias("parent_t"))
