@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from tracewarden.llm.packing import ChunkEncoder, TierPacker, pack_documents
 from tracewarden.llm.queries import op1_packing, tokenizer_path
 
-ODD = ["it's 'S don't. ab'.x d's.", "İstanbul ΣΑΣ. ς", "á.b c d\x1ce \t\r\n x", "日本語、テスト。", "1.5,2 x.,y ..", "<|endoftext|> q", "é. ́ .́ ,", "A" * 100 + ". b", "", "   \n", "Ḱ., 'll.", "x&&& y%%% z!!", "a" * 5000]
+ODD = ["it's 'S don't. ab'.x d's.", "İstanbul ΣΑΣ. ς", "á.b c d\x1ce \t\r\n x", "日本語、テスト。", "1.5,2 x.,y ..", "<|endoftext|> q", "é. ́ .́ ,", "A" * 100 + ". b", "", "   \n", "Ḱ., 'll.", "x&&& y%%% z!!", "a" * 5000, "".join(chr(c) for c in range(0xA0, 0x100)), " ".join(f"x{chr(c)}y" for c in range(0x80, 0x180))]
 
 
 def plain():

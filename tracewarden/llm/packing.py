@@ -16,9 +16,9 @@ import os
 from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator, Sequence
+from operator import itemgetter
 from string import punctuation
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 TIERS = (256, 512, 1024, 2048)
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+#: How byte-level models write the bytes that are no printable characters: those from U+0100 on, in order.
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -34,23 +36,18 @@ class ChunkEncoder:
 
     The tokenizer's pre-tokenizer never joins characters across a space or a line feed, and its normaliser composes
     nothing with them, so a text's ids are those of its chunks between them, in order. It also ends a token between
-    letters and the punctuation after them, and lower-cases. So plain words, without case and final punctuation, are
-    encoded many at a time; other chunks one by one. All are kept until there are ``keep``; then those of the last texts
-    alone, which hold the frequent ones.
+    letters and the punctuation after them, and lower-cases. So a plain word, without case and final punctuation, goes
+    to the tokenizer's model alone; other chunks to the whole tokenizer. All are kept until there are ``keep``; then
+    those of the last texts alone, which hold the frequent ones.
     """
 
     def __init__(self, path: str, keep: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = True
-        # for words of lower-case letters alone, the normaliser and the pre-tokenizer's pattern have nothing to do
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.keep = keep
         self.known: dict[str, bytes] = {"": b""}
         self.marks: dict[str, bytes] = {"": b""}
@@ -67,17 +64,10 @@ class ChunkEncoder:
             for e in self.tokenizer.encode_batch_fast(chunks[k : k + 10_000], add_special_tokens=False):
                 yield array("I", e.ids).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """A plain word is one pre-token, whose last id alone ends a word, so words encoded together come apart again."""
-        for k in range(0, len(words), 2000):
-            part = words[k : k + 2000]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and cuts[-1] == len(ids):
-                raw, bounds = ids.tobytes(), [0, *(cuts * 4).tolist()]
-                self.known.update(zip(part, map(raw.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
-            else:
-                self.known.update(zip(part, self._each(part), strict=True))
+    def _word(self, word: str) -> bytes:
+        """Of lower-case letters below U+0100: the model reads UTF-8 bytes written as characters."""
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
@@ -93,7 +83,8 @@ class ChunkEncoder:
                 plain.append(stem.lower())
             else:
                 others.append(c)
-        self._learn(list(set(plain).difference(known)))
+        for w in set(plain).difference(known):
+            known[w] = self._word(w)
         known.update(zip(others, self._each(others), strict=True))
         for c, w in zip(words, plain, strict=True):
             if c != w:
@@ -101,7 +92,7 @@ class ChunkEncoder:
                 if mark not in marks:
                     marks[mark] = next(self._each([mark]))
                 known[c] = known[w] + marks[mark]
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        out = [b"".join(itemgetter(*chunks)(known)) if len(chunks) > 1 else known[chunks[0]] for chunks in split]
         if len(known) > self.keep:
             self.known = {c: known[c] for c in seen} | {"": b""}
             self.marks = {"": b""}
