@@ -165,12 +165,13 @@ def _surrogates(key: str, tweak: int) -> dict[str, Callable[[Column], Column]]:
         return _let(_cipher(body, prf("iban"), _alnum), lambda new: F.concat(country, F.lpad(moved(new).cast("string"), 2, "0"), new))
 
     def secret(e: Column) -> Column:
+        """The same for a value by itself and after its name: what is hexadecimal stays so, a tagged key keeps its tag."""
         tagged = F.concat(F.substring(e, 1, 4), _cipher(F.substring(e, F.lit(5), F.length(e)), prf("key"), _alnum))
-        return F.when(e.rlike("^(?:AKIA|ASIA)"), tagged).otherwise(_cipher(e, prf("key"), _hex))
+        return F.when(e.rlike("^(?:AKIA|ASIA)"), tagged).when(e.rlike("^[0-9a-f]+$"), _cipher(e, prf("key"), _hex)).otherwise(_cipher(e, prf("key"), _alnum))
 
     def password(e: Column) -> Column:
         head = F.regexp_extract(e, r"^[A-Za-z_]+ ?[=:] ?[\"']?", 0)
-        return _let(head, lambda h: F.concat(h, _cipher(F.substring(e, F.length(h) + 1, F.length(e)), prf("password"), _alnum)))
+        return _let(head, lambda h: F.concat(h, _let(F.substring(e, F.length(h) + 1, F.length(e)), secret)))
 
     def word(w: Column) -> Column:
         """A listed given name moves in its list; any other word keeps its last letter, as endings show gender, and never becomes a listed name."""
@@ -226,8 +227,8 @@ def clashes(docs: DataFrame, key: str, tweak: int, text_col: str = "text") -> Da
     """(kind, surrogate) that two different entities of ``docs`` would share."""
     found = docs.select(F.explode(entities(F.col(text_col))).alias("e")).distinct()
     named = found.select("e", kind_of(F.col("e")).alias("kind"))
-    each = named.select("kind", same(F.col("e"), F.col("kind")).alias("entity"), surrogate(F.col("e"), F.col("kind"), key, tweak).alias("s"))
-    shared = each.groupBy("kind", same(F.col("s"), F.col("kind")).alias("surrogate")).agg(F.min("entity").alias("a"), F.max("entity").alias("b"))
+    each = named.select(F.when(F.col("kind") == "password", "key").otherwise(F.col("kind")).alias("group"), "kind", same(F.col("e"), F.col("kind")).alias("entity"), surrogate(F.col("e"), F.col("kind"), key, tweak).alias("s"))
+    shared = each.groupBy(F.col("group").alias("kind"), same(F.col("s"), F.col("kind")).alias("surrogate")).agg(F.min("entity").alias("a"), F.max("entity").alias("b"))
     return shared.where("a != b").select("kind", "surrogate")
 
 
