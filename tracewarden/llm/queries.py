@@ -113,6 +113,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (op1_packing, op2_simhash, op3_lm_score, op4_media, op5_chat, op6_html, op7_langid, op8_licenses, op9_decontaminate, op10_pii)}
 _ESCAPED = "replace(replace(replace({}, chr(92), chr(92) || chr(92)), '<', chr(92) || 'l'), '[', chr(92) || 'b')"
 _ODD = "'</s>[INST] ok [/INST]'"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), '" + _UPPER + "', '" + _UPPER.lower() + r"'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE_SQL: dict[str, str] = {
     "op5_chat": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         UNION ALL VALUES (-7, 0, 'user', {_ODD}), (-7, 1, 'assistant', {_ODD})),
@@ -120,4 +122,17 @@ ORACLE_SQL: dict[str, str] = {
         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
         sum(20 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS formatted FROM t GROUP BY conv_id)
     SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM c""",
+    "op9_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark),
+    win AS (SELECT DISTINCT item, ws[k : k + least(10, len(ws)) - 1] AS win FROM (SELECT item, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS k FROM i WHERE len(ws) > 0)),
+    tok AS MATERIALIZED (SELECT doc_id, pos, ws[pos] AS word, ws[pos : pos + 9] AS g, ws[pos : pos + 15] AS span FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM d)),
+    occ AS MATERIALIZED (SELECT DISTINCT doc_id, pos, len(win) AS size, item FROM tok JOIN win ON word = win[1] AND g[1 : len(win)] = win),
+    hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS p FROM occ) GROUP BY 1),
+    its AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS ids FROM occ GROUP BY 1),
+    df AS (SELECT word, count(*) AS c FROM tok GROUP BY 1),
+    anc AS (SELECT item, win, x FROM (SELECT item, win, x, row_number() OVER (PARTITION BY item, win ORDER BY coalesce(c, 0), k) AS r FROM (SELECT item, win, unnest(win) AS x, unnest(range(10)) AS k FROM win WHERE len(win) = 10) LEFT JOIN df ON word = x) WHERE r <= 2),
+    cand AS (SELECT DISTINCT doc_id, item, win, unnest(range(greatest(1, pos - 15), pos + 1)) AS s FROM anc JOIN tok ON word = x),
+    near AS (SELECT DISTINCT c.doc_id, c.item FROM cand c JOIN tok t ON t.doc_id = c.doc_id AND t.pos = c.s WHERE len(list_filter(c.win, lambda v: list_contains(t.span, v))) >= 9),
+    n AS (SELECT doc_id, count(*) AS n FROM (SELECT * FROM near EXCEPT SELECT doc_id, item FROM occ) GROUP BY 1)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+        hit.n IS NOT NULL AS contaminated, coalesce(n.n, 0) AS n_near FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN n USING (doc_id)""",
 }
