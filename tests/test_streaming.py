@@ -125,6 +125,11 @@ def test_http_sink(spark, receiver, tmp_path):
     assert ids == [r.event_id for r in df.collect()] and len(set(ids)) == 7
 
 
+def test_console(spark, capsys):
+    sinks.ConsoleSink()(spark.createDataFrame([('{"a":1}',)], "document string"), 0)
+    assert capsys.readouterr().out == '{"a":1}\n'
+
+
 def test_delivery_rules(spark, tmp_path):
     assert [sinks.is_retryable(s) for s in (None, 408, 429, 500, 404, 200)] == [True, True, True, True, False, False]
     rng = random.Random(1)

@@ -42,6 +42,14 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
 
 
+class ConsoleSink(Sink):
+    """Each document as a line on standard output, fetched a partition at a time."""
+
+    def write(self, batch: DataFrame, batch_id: int = 0) -> None:
+        for row in batch.select("document").toLocalIterator():
+            print(row.document, flush=True)
+
+
 class JsonLinesSink(Sink):
     """Text files of {"received_at", "event"} under a folder."""
 
