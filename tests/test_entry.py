@@ -22,6 +22,18 @@ def test_without_the_optional_parts():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert e.queries()["decode_records"](spark, "/root/testdata/sf0.001").count() > 0
+"""
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=environment)
+
+
 def test_nothing_else_imports_the_optional_parts():
     for folder, _, files in os.walk(os.path.join(ROOT, "tracewarden")):
         if os.path.basename(folder) == "llm":
