@@ -32,11 +32,12 @@ PROCESSES = [
 ]
 
 
-def processes(events: DataFrame) -> DataFrame:
-    """(event_id, name, executable, command_line, args), one of PROCESSES for each event, in turn."""
+def processes(events: DataFrame, *keep: Column) -> DataFrame:
+    """(event_id, the ``keep`` columns, name, executable, command_line, args), one of PROCESSES for each event, in turn."""
     text = lambda v: F.lit(v).cast("string")
     listed = F.array(*[F.struct(text(n).alias("name"), text(x).alias("executable"), text(c).alias("command_line"), (F.array(*map(F.lit, a)) if a else F.lit(None).cast("array<string>")).alias("args")) for n, x, c, a in PROCESSES])
-    return events.select("event_id", F.get(listed, F.pmod("event_id", F.lit(len(PROCESSES))).cast("int")).alias("p")).select("event_id", "p.*")
+    found = events.select("event_id", *keep, F.get(listed, F.pmod("event_id", F.lit(len(PROCESSES))).cast("int")).alias("p"))
+    return found.select(*[c for c in found.columns if c != "p"], "p.*")
 
 
 def processes_sql() -> str:
@@ -82,9 +83,7 @@ def records(events: DataFrame) -> DataFrame:
 
 def documents(events: DataFrame) -> DataFrame:
     """Documents as after enrichment, with ``seen_at`` (seconds) and ``seq``: every fifth event is an outbound connection of its process."""
-    p = processes(events).withColumnRenamed("event_id", "__id")
-    e = events.select("event_id", "user_id", micros().alias("t"))
-    joined = e.join(p, e.event_id == p["__id"])
+    joined = processes(events, F.col("user_id"), micros().alias("t"))
     net = F.col("event_id") % 5 == 0
     port = F.when(F.col("name") == "curl", 80).when(F.col("name") == "tool", 4444).otherwise((F.col("event_id") % 1000).cast("int"))
     return joined.select(
