@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._util import slices
+
 #: Lower-cases A-Z; every other byte below 0x80 but digits and letters parts words.
 _FOLD = bytes((c + 32) if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>, near_items array<string>"
@@ -196,8 +198,7 @@ def find_phrases(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for k in range(0, b.num_rows, 2000):
-                    part = b.slice(k, 2000)
+                for part in slices(b, 1, 2000):
                     sizes, spans, found, near = search(part.column(1).to_pylist(), phrases.value, near_terms, slop)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *(pa.array(x, t.type) for x, t in zip((spans, found, near), list(_ARROW)[2:], strict=True))], schema=_ARROW)
 
@@ -237,8 +238,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i in range(0, b.num_rows, 2000):
-                    part = b.slice(i, 2000)
+                for part in slices(b, place, 2000):
                     texts = [None if t is None else t.encode() for t in part.column(place).to_pylist()]
                     found = search(texts, phrases.value, None, 0)[2]
                     yield part.filter(pa.array([not x for x in found], pa.bool_()))

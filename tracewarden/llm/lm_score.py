@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._util import slices
 from .decontaminate import words
 
 OFFSETS = (-2, -1, 1, 2)
@@ -174,8 +175,8 @@ def fit(docs: DataFrame, text_col: str = "text", frequent: int = 192, width: int
             trainer = Trainer(net.filled(net.flat().copy()))
             rng = np.random.default_rng(seed)
             for b in batches:
-                for k in range(0, b.num_rows, 500):
-                    ids, places, _ = numbered(b.slice(k, 500).column(0).to_pylist(), vocabulary)
+                for part in slices(b, 0, 500):
+                    ids, places, _ = numbered(part.column(0).to_pylist(), vocabulary)
                     places = places[int(rng.integers(stride)) :: stride]
                     rng.shuffle(places)
                     for i in range(0, len(places), 256):
@@ -216,8 +217,7 @@ def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, net = held.value.vocabulary, held.value.net
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
+            for part in slices(b, 1, 500):
                 ids, places, sizes = numbered(part.column(1).to_pylist(), vocabulary)
                 ends = np.r_[0.0, np.cumsum(net.log_prob(ids, places))]
                 stop = np.cumsum(sizes)

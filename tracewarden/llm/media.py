@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._util import slices
+
 UNIT, UNITS_PER_CHUNK, RATE = 64, 16, 8000
 CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex", b"moof", b"traf"))
 TRACK = "struct<handler:string,codec:string,timescale:long,duration:long,samples:long,bytes:long,keyframes:array<struct<offset:long,size:long,time:long>>>"
@@ -170,8 +172,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
+            for part in slices(b, 1, 500):
                 media = [encode(payload_of(t)) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -199,8 +200,7 @@ def index(files: DataFrame, media_col: str = "media", read_back: bool = False) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
+            for part in slices(b, place, 500):
                 media = part.column(place).to_pylist()
                 found = [tracks(m) for m in media]
                 more = [pa.array([[described(t) for t in ts] for ts in found], kind)]

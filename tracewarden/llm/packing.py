@@ -16,6 +16,7 @@ import os
 from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator, Sequence
+from itertools import islice
 from operator import itemgetter
 from string import punctuation
 
@@ -24,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._util import slices
+
 TIERS = (256, 512, 1024, 2048)
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 #: How byte-level models write the bytes that are no printable characters: those from U+0100 on, in order.
@@ -38,10 +41,10 @@ class ChunkEncoder:
     nothing with them, so a text's ids are those of its chunks between them, in order. It also ends a token between
     letters and the punctuation after them, and lower-cases. So a plain word, without case and final punctuation, goes
     to the tokenizer's model alone; other chunks to the whole tokenizer. All are kept until there are ``keep``; then
-    those of the last texts alone, which hold the frequent ones.
+    the earlier half alone, which has the frequent ones.
     """
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,9 +76,8 @@ class ChunkEncoder:
         """Ids of each text; a null text has none."""
         split = [_lowered(t or "").replace("\n", " ").split(" ") for t in texts]
         known, marks = self.known, self.marks
-        seen = set().union(*split)
         words, plain, others = [], [], []
-        for c in seen.difference(known):
+        for c in set().union(*split).difference(known):
             stem = c.rstrip(punctuation)
             # below U+0100 a letter's lower case is one letter, and composing changes nothing
             if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
@@ -94,7 +96,7 @@ class ChunkEncoder:
                 known[c] = known[w] + marks[mark]
         out = [b"".join(itemgetter(*chunks)(known)) if len(chunks) > 1 else known[chunks[0]] for chunks in split]
         if len(known) > self.keep:
-            self.known = {c: known[c] for c in seen} | {"": b""}
+            self.known = dict(islice(known.items(), self.keep // 2))
             self.marks = {"": b""}
         for c in others:
             if len(c) > 64:
@@ -220,8 +222,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
+            for part in slices(b, 1, 200):
                 rows = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     rows.extend(packer.add(doc_id, ids + eod))
