@@ -9,7 +9,6 @@ from copy import deepcopy
 # The settings and their defaults.
 DEFAULTS = {
     "agent": {"debug_drops": False, "self_filter": {"enabled": True}},
-    "ebpf": {"sensors_path": "ebpf/sensors.c", "structures_path": "ebpf/structures.h"},
     "output": {"mode": "stdout", "debug": False},
     "enrichment": {"proc_enricher": {"enabled": True, "chunk_size": 4096, "enable_hash_cache": True}},
     "filters": {"system_noise": {"enabled": True, "drop_vscode_noise": True, "drop_proc_polling_noise": True, "drop_process_inventory_noise": True, "drop_event_receiver_noise": True}},

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 
@@ -59,12 +59,11 @@ def _process(**more: object) -> dict:
 
 
 # The shipped rules, in evaluation order.
-CATALOGUE = [
+_SHIPPED = [
     Rule(
         "lab-network-curl-outbound-http", "Curl Outbound HTTP Connection", "medium", "Detecteaza conexiuni HTTP outbound initiate de curl.", ("attack.command_and_control", "attack.t1105"),
         {"product": "linux", "category": "network_connection"},
         {"selection": {"event.category|contains": "network", "network.direction": "outbound", "process.name": "curl", "destination.port": [80, 443]}, "condition": "selection"},
-        "network/curl_outbound_http_connection.yml",
     ),
     Rule(
         "lab-network-outbound-reverse-shell-port", "Outbound Connection To Common Reverse Shell Port", "high",
@@ -75,25 +74,21 @@ CATALOGUE = [
             "selection_port": {"destination.port": [4444, 4445, 1337, 31337]},
             "condition": "selection_network and selection_port",
         },
-        "network/outbound_unusual_port.yml",
     ),
     Rule(
         "lab-process-curl-wget-external-url", "Curl Or Wget External URL Execution", "medium", "Detectează executia curl/wget cu URL HTTP sau HTTPS in linia de comanda.",
         ("attack.command_and_control", "attack.t1105"), {"product": "linux", "category": "process_creation"},
         {"selection_process": _process(**{"process.name": ["curl", "wget"]}), "selection_url": {"process.command_line|contains": ["http://", "https://"]}, "condition": "selection_process and selection_url"},
-        "process/curl_or_wget_external_url.yml",
     ),
     Rule(
         "lab-process-execution-from-writable-tmp", "Execution From World Writable Temporary Directory", "high", "Detecteaza procese lansate din /tmp, /var/tmp sau /dev/shm.",
         ("attack.defense_evasion", "attack.t1036"), {"product": "linux", "category": "process_creation"},
         {"selection_tmp": _process(**{"process.executable|startswith": ["/tmp/", "/var/tmp/", "/dev/shm/"]}), "condition": "selection_tmp"},
-        "process/execution_from_writable_tmp.yml",
     ),
     Rule(
         "lab-process-suspicious-network-utility", "Suspicious Network Utility Execution", "high",
         "Detecteaza executia unor utilitare frecvent folosite pentru transfer, pivotare sau reverse shell.", ("attack.command_and_control", "attack.t1105"),
         {"product": "linux", "category": "process_creation"}, {"selection_tool": _process(**{"process.name": ["nc", "ncat", "netcat", "socat"]}), "condition": "selection_tool"},
-        "process/network_tool_execution.yml",
     ),
     Rule(
         "lab-process-sensitive-account-file-read", "Sensitive Linux Account File Read", "medium", "Detecteaza citirea fisierelor locale sensibile de conturi.", ("attack.discovery", "attack.t1087"),
@@ -103,12 +98,12 @@ CATALOGUE = [
             "selection_target": {"process.command_line|contains": ["/etc/passwd", "/etc/shadow", "/etc/sudoers"]},
             "condition": "selection_reader and selection_target",
         },
-        "process/sensitive_file_read.yml",
     ),
     Rule(
         "lab-process-shell-inline-command", "Shell Inline Command Execution", "low", "Detecteaza executia de comenzi inline prin shell, de forma sh/bash -c.", ("attack.execution", "attack.t1059"),
         {"product": "linux", "category": "process_creation"},
         {"selection_shell": _process(**{"process.name": ["sh", "bash", "dash", "zsh"]}), "selection_inline": {"process.args": ["-c"]}, "condition": "selection_shell and selection_inline"},
-        "process/shell_inline_command.yml",
     ),
 ]
+
+CATALOGUE = [replace(r, path=f"catalogue/{r.id}") for r in _SHIPPED]
