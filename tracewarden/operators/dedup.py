@@ -25,20 +25,23 @@ def check_parameters(window_seconds: float, mode: str, max_groups: int = 1) -> N
         raise ValueError("max_groups must be positive")
 
 
-def sessions(df: DataFrame, key: Column, time: Column, seq: Column, window_seconds: float, sets: dict[str, Column] | None = None, prefix: str = "") -> DataFrame:
+def sessions(df: DataFrame, key: Column, time: Column, seq: Column, window_seconds: float, sets: dict[str, Column] | None = None, firsts: dict[str, Column] | None = None, prefix: str = "", keep_key: bool = False) -> DataFrame:
     """``df`` with, for each row, ``session`` (number within its key), ``count`` so far, ``is_duplicate``, and running sorted sets.
 
-    ``time`` is in seconds; ties go by ``seq``. ``sets`` names values to collect over the session so far (nulls left out).
+    ``time`` is in the unit of ``window_seconds``; ties go by ``seq``. ``sets`` names values to collect over the session so
+    far (nulls left out), ``firsts`` values of its first row. All share one shuffle. ``keep_key`` keeps the key as ``key``.
     """
-    order = Window.partitionBy("__key").orderBy("__time", "__seq")
-    staged = df.withColumns({"__key": key, "__time": time.cast("double"), "__seq": seq})
+    order = Window.partitionBy("__by").orderBy("__time", "__seq")
+    staged = df.withColumns({"__by": key, "__time": time.cast("double"), "__seq": seq})
     gap = F.col("__time") - F.lag("__time").over(order)
     staged = staged.withColumn("__new", F.when(gap < window_seconds, 0).otherwise(1))
     staged = staged.withColumn(f"{prefix}session", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    within = Window.partitionBy("__key", f"{prefix}session").orderBy("__time", "__seq").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("__by", f"{prefix}session").orderBy("__time", "__seq").rowsBetween(Window.unboundedPreceding, 0)
     columns = {f"{prefix}count": F.count(F.lit(1)).over(within), f"{prefix}is_duplicate": F.col("__new") == 0}
     columns |= {f"{prefix}{name}": F.sort_array(F.collect_set(value).over(within)) for name, value in (sets or {}).items()}
-    return staged.withColumns(columns).drop("__key", "__time", "__seq", "__new")
+    columns |= {f"{prefix}{name}": F.first(value).over(within) for name, value in (firsts or {}).items()}
+    columns |= {f"{prefix}key": F.col("__by")} if keep_key else {}
+    return staged.withColumns(columns).drop("__by", "__time", "__seq", "__new")
 
 
 def alert_key(include_destination_ip: bool = False) -> Column:
@@ -60,15 +63,13 @@ def dedup_alerts(documents: DataFrame, time_col: str = "seen_at", seq_col: str =
     # rows that are no alerts are their own keys, so they spread evenly and never meet
     key = F.when(alert, alert_key(include_destination_ip)).otherwise(F.concat(F.lit("-"), F.col(seq_col).cast("string")))
     ip, port = F.nullif(F.col("destination.ip"), F.lit("")), F.col("destination.port")
-    found = sessions(documents, key, F.col(time_col), F.col(seq_col), window_seconds, {"ips": ip, "ports": port}, prefix="__")
-    in_session = Window.partitionBy("__id", "__session").orderBy(time_col, seq_col).rowsBetween(Window.unboundedPreceding, 0)
-    found = found.withColumn("__id", key).withColumn("__first", F.first("@timestamp").over(in_session))
+    found = sessions(documents, key, F.col(time_col), F.col(seq_col), window_seconds, {"ips": ip, "ports": port}, {"first": F.col("`@timestamp`")}, "__", keep_key=True)
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
     dedup = F.struct(
         F.lit(True).alias("enabled"),
         F.lit(mode).alias("mode"),
         F.col("__is_duplicate").alias("is_duplicate"),
-        F.col("__id").alias("group_id"),
+        F.col("__key").alias("group_id"),
         F.lit(float(window_seconds)).alias("window_seconds"),
         F.col("__count").alias("count"),
         F.col("__first").alias("first_seen"),
@@ -81,4 +82,4 @@ def dedup_alerts(documents: DataFrame, time_col: str = "seen_at", seq_col: str =
     out = found.withColumn("edr", F.col("edr").withField("alert", F.when(alert, F.struct(dedup.alias("dedup")))))
     if mode == "drop":
         out = out.where(~(alert & F.col("__is_duplicate")))
-    return out.drop("__session", "__count", "__is_duplicate", "__ips", "__ports", "__id", "__first")
+    return out.drop("__session", "__count", "__is_duplicate", "__ips", "__ports", "__key", "__first")
