@@ -177,7 +177,7 @@ def _block(small: DataFrame, k: int, n_blocks: int) -> list[tuple[str, bytes | N
     return [(r.item, r.text) for r in rows.collect()]
 
 
-def find_phrases(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, near_terms: int | None = 9, slop: int = 6, block_bytes: int = 32 << 20) -> DataFrame:
+def find_phrases(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, near_terms: int | None = 9, slop: int = 6, block_bytes: int = 4 << 20) -> DataFrame:
     """A row for each row of ``docs``, columns as in SCHEMA.
 
     ``spans`` are the merged word ranges inside exact occurrences of any window; ``items`` the sorted ids (as strings)
@@ -228,7 +228,7 @@ def word_count(spans: str = "spans"):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, without an exact occurrence of any window of any item."""
     small, n_blocks = _blocks(items, item_col, item_text_col, block_bytes)
     place, sc = docs.columns.index(text_col), docs.sparkSession.sparkContext

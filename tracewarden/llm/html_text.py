@@ -106,9 +106,10 @@ def blocks(html: str) -> list[Block]:
         heading = False
 
     def close(tag: str) -> None:
-        if any(t == tag for t, _ in open_tags):
-            while open_tags.pop()[0] != tag:
-                pass
+        for k in range(len(open_tags) - 1, -1, -1):
+            if open_tags[k][0] == tag:
+                del open_tags[k:]
+                return
 
     at, size = 0, len(html)
     while at < size:
