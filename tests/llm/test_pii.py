@@ -39,6 +39,7 @@ CASES = [
     ("key", "0641917ea4e9feb9cda83477b57ac2654884f485", r"[0-9a-f]{40}"),
     ("password", "password=b7db7aa4a5fcc78305", r"password=[a-f]\d[a-f0-9]+"),
     ("password", "Token = 'Abc-12xyz", r"Token = '[A-Z][a-z]{2}-\d\d[a-z]{3}"),
+    ("password", "secret: ab12cd", r"secret: [a-f]{2}\d\d[a-f]{2}"),
     ("name", "Mrs Mary Smith", r"Mrs \p{L}+ [A-Z][a-z]{3}h"),
     ("name", "Frau Müller", r"Frau [A-Z][ü-üáàâäãåéèêëíìîïóòôöõúù][a-z]{3}r"),
     ("name", "Иван Петров", r"\p{L}+ [А-Я][а-я]{4}в"),
@@ -90,7 +91,7 @@ def test_different_entities_stay_different_and_the_key_matters(spark):
 
 
 def test_plain_text_is_untouched(spark):
-    texts = ["Of OF of. 1,000 units in 2024, version 2.0.0 or 10.5%", "a@b", "", "x" * 100_000, "12345 1-2-3", "é@é.é", "Will Smithson Said"]
+    texts = ["Of OF of. 1,000 units in 2024, version 2.0.0 or 10.5%", "a@b", "", "x" * 100_000, "12345 1-2-3", "é@é.é", "Will Smithson Said", "The secret: nobody knows. Token : word"]
     assert replaced(spark, texts) == [(t, []) for t in texts]
 
 

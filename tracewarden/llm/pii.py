@@ -43,7 +43,7 @@ PATTERNS = {
     "phone": r"(?:\+(?:[17]|\d{2,3})[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|\d{3}([ .\-])\d{3}\1\d{4}(?!\d)|\+\d{1,3}(?:[ .\-]?\d{1,4}){3,6}(?!\d)",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?![0-9A-Za-z])",
-    "password": r"(?i:password|passwd|pwd|secret|api_?key|token) ?[=:] ?[\"']?[^\s\"',;]{3,}[^\s\"',;.!?)\]]",
+    "password": r"(?i:password|passwd|pwd|secret|api_?key|token)(?: ?= ?[\"']?| ?: ?[\"']?(?=[^\s\"',;]*\d))[^\s\"',;]{3,}[^\s\"',;.!?)\]]",
     "name": rf"(?=\p{{Lu}}|г|κ)(?:{TITLES} {_WORD}(?: {_WORD})?|(?:{_GIVEN}) {_WORD})",
 }
 #: A telephone number may start with a parenthesis or a plus; nothing starts inside a word.
