@@ -40,6 +40,7 @@ CASES = [
     ("<article><p>unclosed <b>bold", "unclosed bold"),
     ('<article><p title="a>b">q &nbsp; &euro;\n\t r</p><p hidden>h</p></article>', "q € r"),
     ("<article><p>a < b and 3 <4</p></article>", "a < b and 3 <4"),
+    ("<p>" + "zyx wvu " * 40 + "</p><p>qpo</p>", ("zyx wvu " * 40).strip() + "\nqpo"),
     ("<article><ul><li>one<li>two</ul><table><tr><td>c1<td>c2</table></article>", "one\ntwo\nc1\nc2"),
 ]
 

@@ -179,10 +179,8 @@ def classify(found: list[Block], length_low: int = 70, length_high: int = 200, s
         else:
             words = WORD.findall(b.text.lower())
             stops = sum(w in STOPWORDS for w in words) / max(1, len(words))
-            if stops >= stop_high or stops >= stop_low and len(b.text) >= length_high:
-                labels.append(GOOD)
-            else:
-                labels.append(OPEN if stops >= stop_low or len(b.text) < length_high else BAD)
+            # few stop words may only mean a language that the list doesn't have, so they leave a block open
+            labels.append(GOOD if stops >= stop_high or stops >= stop_low and len(b.text) >= length_high else OPEN)
     if not article and GOOD not in labels:  # nothing is sure: what nothing speaks against
         return [x != BAD for x in labels]
     out, n = [], len(labels)
