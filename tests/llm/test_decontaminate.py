@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from tracewarden.llm.decontaminate import drop_contaminated, find_phrases, word_count
+from tracewarden.llm.decontaminate import drop_contaminated, find_phrases, postings, search_postings, word_count
 from tracewarden.llm.queries import op9_decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -60,6 +60,22 @@ def test_random_texts_in_one_block_and_in_many(spark):
         assert clean == {w[0] for w in wanted if not w[2]}
 
 
+def test_stored_postings(spark, tmp_path):
+    docs, items, d, i = random_tables(spark)
+    for block in (1 << 20, 60):
+        path = str(tmp_path / f"index{block}")
+        postings(d, i, block_bytes=block).write.parquet(path)
+        found = search_postings(spark.read.parquet(path), i).collect()
+        by_doc = {}
+        for r in found:
+            hit, names = by_doc.setdefault(r.doc_id, (set(), set()))
+            hit.update(range(r.start, r.start + r.size))
+            names.add(r.item)
+        want = {w[0]: (w[2], w[3]) for w in slow(docs, items) if w[2]}
+        assert {k: (len(h), sorted(n)) for k, (h, n) in by_doc.items()} == want
+    assert postings(d.limit(0), i).count() == 0 and search_postings(postings(d, i), i.limit(0)).count() == 0
+
+
 def test_proximity(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     docs = [(1, item), (2, "xx alpha beta gamma delta yy epsilon zeta eta theta iota kappa"), (3, "kappa beta gamma delta epsilon zeta eta theta iota alpha"), (4, "alpha beta gamma delta epsilon zeta eta theta"), (5, "alpha beta gamma delta epsilon zeta eta theta x iota")]

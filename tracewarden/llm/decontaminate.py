@@ -248,3 +248,63 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     for k in range(n_blocks):
         docs = clean(docs, k)
     return docs
+
+
+def postings(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+    """(term, doc_id, positions): the index as rows, for the items' terms, to be stored and searched again.
+
+    Documents without an id have no rows. Rows of one document id are told apart only by their positions, so ids should
+    be unique. Write it partitioned or bucketed by term.
+    """
+    small, n_blocks = _blocks(items, item_col, item_text_col, block_bytes)
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
+    out = None
+    for k in range(n_blocks):
+        terms = docs.sparkSession.sparkContext.broadcast(set(PhraseSet(_block(small, k, n_blocks)).terms))
+
+        def run(batches: Iterator[pa.RecordBatch], terms=terms) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for part in slices(b, 1, 500):
+                    rows: tuple[list, list, list] = ([], [], [])
+                    for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                        found: dict[bytes, list[int]] = {}
+                        for at, w in enumerate(words(text)):
+                            if w in terms.value:
+                                found.setdefault(w, []).append(at)
+                        rows[0].extend(found)
+                        rows[1].extend([doc_id] * len(found))
+                        rows[2].extend(found.values())
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int64()))], names=["term", "doc_id", "positions"])
+
+        found = texts.mapInArrow(run, "term binary, doc_id long, positions array<long>")
+        out = found if out is None else out.unionByName(found)
+    return out if n_blocks == 1 else out.dropDuplicates(["term", "doc_id"])
+
+
+def search_postings(index: DataFrame, items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
+    """(item, doc_id, start, size): each exact occurrence of a window of an item, from stored postings of its terms.
+
+    A window's rarest term gives the candidate starts; the postings of its other terms, moved back by their offsets, must
+    hold each of them. Both are equality-joins on the term; nothing of the index is gathered.
+    """
+
+    def cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ws = words(text)
+                size = min(window, len(ws))
+                rows += [(item, ws[k : k + size]) for k in range(len(ws) - size + 1 if size else 0)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], names=["item", "win"])
+
+    small = items.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("binary")).where(F.col(item_col).isNotNull())
+    windows = small.mapInArrow(cut_items, "item string, win array<binary>").distinct()
+    sizes = index.groupBy("term").agg(F.sum(F.size("positions")).alias("n"))
+    each = windows.select("item", "win", F.posexplode("win").alias("at", "term"))
+    rarest = each.join(sizes, "term", "left").groupBy("item", "win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term")).alias("r"))
+    seeds = rarest.select("item", "win", F.col("r.at").alias("at"), F.col("r.term").alias("term"))
+    starts = seeds.join(index, "term").select("item", "win", "doc_id", F.explode("positions").alias("p"), "at").select("item", "win", "doc_id", (F.col("p") - F.col("at")).alias("start")).where("start >= 0")
+    wanted = starts.select("item", "win", "doc_id", "start", F.posexplode("win").alias("at", "term"))
+    held = wanted.join(index, ["term", "doc_id"]).where(F.array_contains("positions", F.col("start") + F.col("at")))
+    whole = held.groupBy("item", "win", "doc_id", "start").agg(F.count("*").alias("n")).where(F.col("n") == F.size("win"))
+    return whole.select("item", "doc_id", "start", F.size("win").alias("size"))
