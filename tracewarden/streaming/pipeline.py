@@ -50,7 +50,8 @@ def flat_fields(documents: DataFrame, time_col: str, seq_col: str) -> list[Colum
 def stateful(documents: DataFrame, factory: HostStateFactory, time_col: str = "seen_at", seq_col: str = "seq") -> DataFrame:
     """(host, seq, document as JSON, dedup as JSON, correlation as JSON) of the events that are not dropped; see ``nodes``.
 
-    Works on streams and, with the same result, on batches. A host's events are taken by time, then ``seq``.
+    Works on streams and, with the same result, on batches; there, a host's events meet in one task, so large replays
+    should use plans.agent.run_batch. A host's events are taken by time, then ``seq``.
     """
     body = [c for c in documents.columns if c not in ("drop_reason",)]
     rows = documents.select(*flat_fields(documents, time_col, seq_col), F.to_json(F.struct(*[F.col(f"`{c}`") for c in body])).alias("document"))
