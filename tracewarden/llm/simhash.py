@@ -20,6 +20,7 @@ from xxhash import xxh64_intdigest
 
 from ._util import cut
 from .components import components
+from .jaccard import near_copies
 
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
 
@@ -151,12 +152,12 @@ BROADCAST_IDS = 500_000
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: that with the least id, once.
+    """``docs`` with one document of each group of near copies (``jaccard.near_copies``): that with the least id, once.
 
     A document without an id can't be told from others of its kind and stays. Texts stay where they are if the ids that
     go are few enough to be broadcast, which is checked; else they are shuffled once.
     """
-    found = cut(near_duplicates(docs, id_col, text_col))
+    found = cut(near_copies(docs, id_col, text_col))
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
     out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti")
     kept = found.where("doc_id = component_id")
