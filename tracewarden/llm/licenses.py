@@ -56,7 +56,7 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 #: Every template has one of these; texts without any are never split into words.
-HINT = r"(?i)licen[cs]e|permission|redistribution|public domain"
+HINT = r"(?i)licen[cs]e|permission|redistribution|public\s+domain"
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 SCHEMA = "doc_id long, license string, coverage double, start long, end long, matched long"
 
@@ -139,7 +139,7 @@ class Scanner:
                     regions.append([k, k])
             for lo, hi in regions:
                 found.extend(self._within(name, template, ws, max(0, lo - n), min(len(ws), hi + n + 1), set(hits)))
-        found.sort(key=lambda f: (-f[4], -f[1], f[2], f[0]))
+        found.sort(key=lambda f: (-f[4], -f[1], f[3] - f[2], f[2], f[0]))
         kept: list = []
         for f in found:
             if all(f[3] <= g[2] or f[2] >= g[3] for g in kept):
@@ -147,25 +147,41 @@ class Scanner:
         return sorted(kept, key=lambda f: f[2])
 
     def _within(self, name: str, template: list[str], ws: list[str], lo: int, hi: int, hits: set[int]) -> Iterator[tuple]:
-        """Alignments inside a region. A region with several copies is cut at each hit, for the words of a copy are unique only by themselves."""
-        n = len(template)
-        starts = [lo] if hi - lo <= 3 * n else sorted({max(lo, k - n) for k in hits if lo <= k < hi})
-        done = lo
-        for start in starts:
-            begin = max(start, done)
-            end = min(hi, start + 3 * n)
-            pairs = align(ws[begin:end], template)
-            if not pairs:
+        """Alignments inside a region. Windows that hold one copy come first, laid by the key's place in the template, for the words of a copy are unique only by themselves; the stretches they leave get wide windows."""
+        n, slack = len(template), max(2, len(template) // 4)
+        offsets: dict[str, list[int]] = {}
+        for o, w in enumerate(template):
+            if w in self.keys[name]:
+                offsets.setdefault(w, []).append(o)
+        inside, done, taken = sorted(k for k in hits if lo <= k < hi), lo, []
+        for k in inside:
+            if k < done:
                 continue
-            # the densest stretch: drop aligned words far from the rest
-            middle = pairs[len(pairs) // 2][0] - pairs[len(pairs) // 2][1]
-            near = [p for p in pairs if abs(p[0] - p[1] - middle) <= n]
-            coverage = len(near) / n
-            if coverage >= self.min_coverage:
-                first, last = begin + near[0][0], begin + near[-1][0] + 1
-                if last - first <= 2 * n:
-                    yield name, coverage, first, last, len(near)
-                    done = last
+            tries = (self._aligned(name, template, ws, max(done, k - o - s), min(hi, k - o + n + s)) for s in (0, slack) for o in offsets[ws[k]])
+            best = max((t for t in tries if t), key=lambda t: (t[4], t[2] - t[3]), default=None)
+            if best:
+                yield best
+                taken.append(best)
+                done = best[3]
+        for start, end in zip([lo, *(t[3] for t in taken)], [*(t[2] for t in taken), hi], strict=True):
+            done = start
+            for k in inside:
+                if max(start, done) <= k < end:
+                    begin = max(done, k - n)
+                    if t := self._aligned(name, template, ws, begin, min(end, begin + 3 * n)):
+                        yield t
+                        done = t[3]
+
+    def _aligned(self, name: str, template: list[str], ws: list[str], begin: int, end: int) -> tuple | None:
+        n = len(template)
+        pairs = align(ws[begin:end], template) if end - begin >= self.min_coverage * n else []
+        if not pairs:
+            return None
+        # the densest stretch: drop aligned words far from the rest
+        middle = pairs[len(pairs) // 2][0] - pairs[len(pairs) // 2][1]
+        near = [p for p in pairs if abs(p[0] - p[1] - middle) <= n]
+        first, last = begin + near[0][0], begin + near[-1][0] + 1
+        return (name, len(near) / n, first, last, len(near)) if len(near) / n >= self.min_coverage and last - first <= 2 * n else None
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, min_coverage: float = 0.75) -> DataFrame:
