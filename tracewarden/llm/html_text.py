@@ -47,6 +47,7 @@ WORD = re.compile(r"\w+")
 SPACE = re.compile(r"\s+")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 GOOD, BAD, OPEN = 1, -1, 0
+SOFT = -2  # BAD by a class name or id, or as a form: may be a wrapper of the whole page
 
 
 @dataclass
@@ -60,11 +61,12 @@ class Block:
 
 def _standing(tag: str, attributes: str, article: bool) -> int:
     """What an element's own name, class, id and role say of what is in it."""
-    if tag in DROPPED or (tag == "header" and not article):
+    if (tag in DROPPED and tag != "form") or (tag == "header" and not article):
         return BAD
     if tag in ("html", "body"):
         return OPEN
     value = GOOD if tag in ("article", "main") else OPEN
+    soft = tag == "form"
     if attributes and not attributes.isspace():
         for m in ATTRIBUTE.finditer(attributes):
             name, said = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -78,15 +80,34 @@ def _standing(tag: str, attributes: str, article: bool) -> int:
                 for whole in said.split():
                     parts = {p.lower() for p in NAME_PART.findall(whole)}
                     if tag not in ("article", "main") and parts & BAD_NAMES:
-                        return BAD
+                        soft = True
                     if parts & GOOD_NAMES:
                         value = GOOD
-    return value
+    return SOFT if soft else value
 
 
 def blocks(html: str) -> list[Block]:
-    """The page's blocks in order, white space and character references resolved, empty ones left out."""
+    """The page's blocks in order, white space and character references resolved, empty ones left out.
+
+    What a class name, an id or a form makes boilerplate is left out unless it wraps the page: as long as the page marks
+    no article elsewhere, such an element that holds an article, or most of the text outside links, says nothing.
+    """
+    ignored: set[int] = set()
+    while True:
+        out, outside, held = _blocks(html, ignored)
+        if any(b.inside == GOOD for b in out) or not held:
+            return out
+        total = outside + sum(n for n, _ in held.values())
+        wrappers = {k for k, (_, marked) in held.items() if marked} or {k for k, (n, _) in held.items() if 2 * n > total}
+        if not wrappers:
+            return out
+        ignored |= wrappers
+
+
+def _blocks(html: str, ignored: set[int]) -> tuple[list[Block], int, dict[int, list[int]]]:
+    """Blocks, characters outside links in them, and by place of each outermost SOFT element its characters outside links and whether an article is in it."""
     out: list[Block] = []
+    outside, held, soft, hard = 0, {}, [], []  # depths of open SOFT elements and of BAD ones in them
     open_tags: list[tuple[str, int]] = []  # element and what holds inside it
     text: list[str] = []
     links = n_links = in_link = 0
@@ -105,10 +126,17 @@ def blocks(html: str) -> list[Block]:
         links = n_links = 0
         heading = False
 
+    def forget() -> None:
+        while soft and soft[-1][0] >= len(open_tags):
+            soft.pop()
+        while hard and hard[-1] >= len(open_tags):
+            hard.pop()
+
     def close(tag: str) -> None:
         for k in range(len(open_tags) - 1, -1, -1):
             if open_tags[k][0] == tag:
                 del open_tags[k:]
+                forget()
                 return
 
     at, size = 0, len(html)
@@ -122,8 +150,12 @@ def blocks(html: str) -> list[Block]:
                 piece = ""
             elif piece[0] == "<" and len(piece) > 1:
                 continue
+            if piece and state() == BAD and soft and not hard and not in_link:
+                held[soft[0][1]][0] += len(piece.strip())
             if piece and state() != BAD:
                 text.append(piece)
+                if not in_link:
+                    outside += len(piece.strip())
                 if in_link:
                     links += len(piece.strip())
             continue
@@ -151,15 +183,28 @@ def blocks(html: str) -> list[Block]:
             end_block()
             if tag in ENDS_P and open_tags and open_tags[-1][0] == "p":
                 open_tags.pop()
+                forget()
             elif tag == "li" and open_tags and open_tags[-1][0] == "li":
                 open_tags.pop()
+                forget()
             if tag != "hr":
                 above = state()
-                own = above if above == BAD else _standing(tag, m[3], above == GOOD)
+                own = _standing(tag, m[3], above == GOOD) if above != BAD or soft else BAD
+                if above == BAD and soft:  # only looked at
+                    if own == BAD:
+                        hard.append(len(open_tags))
+                    elif not hard and (tag in ("article", "main") or re.search(r"role\s*=\s*[\"']?(?:main|article)\b", m[3], re.I)) and own == GOOD:
+                        held[soft[0][1]][1] = 1
+                    own = BAD
+                elif own == SOFT:
+                    own = OPEN if at in ignored else BAD
+                    if own == BAD:
+                        soft.append((len(open_tags), at))
+                        held[at] = [0, 0]
                 open_tags.append((tag, own or above))
             heading = bool(re.fullmatch("h[1-6]", tag))
     end_block()
-    return out
+    return out, outside, held
 
 
 def classify(found: list[Block], length_low: int = 70, length_high: int = 200, stop_low: float = 0.15, stop_high: float = 0.30, link_high: float = 0.33) -> list[bool]:
