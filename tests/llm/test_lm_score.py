@@ -1,20 +1,80 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tracewarden.llm.decontaminate import words
-from tracewarden.llm.lm_score import LanguageModel, Trainer, Vocabulary, WindowNet, fit, numbered, score, word_counts
+from tracewarden.llm.lm_score import DISCOUNT, LanguageModel, Trainer, Vocabulary, WindowNet, _around, _fit, _scored, ending, fit, number, padded, score, word_counts
 from tracewarden.llm.queries import op3_lm_score
 
 
-def slow_score(model, text):
-    ids = [0, 0, *(model.vocabulary[w] for w in words(text)), 0, 0]
-    total, net = 0.0, model.net
+def slow_classes(vocabulary, own_class, ws):
+    own = {w: 63 + k for k, (w, _) in enumerate(vocabulary.args[0][:own_class])}
+    return [own.get(w) or ending(w) for w in ws]
+
+
+def slow_class_scores(net, ids):
+    width, ids = len(net.hidden), [0, 0, *ids, 0, 0]
+    out = []
     for p in range(2, len(ids) - 2):
-        h = np.tanh(sum(net.context[k][ids[p + o]].astype(float) for k, o in enumerate((-2, -1, 1, 2))) + net.hidden)
+        h = np.tanh(sum(net.context[ids[p + o]].astype(float)[k * width : (k + 1) * width] for k, o in enumerate((-2, -1, 1, 2))) + net.hidden)
         z = h @ net.out.astype(float) + net.bias
-        total += z[ids[p]] - np.log(np.exp(z).sum())
-    return total
+        out.append(z[ids[p]] - np.log(np.exp(z).sum()))
+    return out
+
+
+def slow_scores(texts, net, own_class, own):
+    """Every text's sum, from counts of whole words kept in a dictionary."""
+    counts = Counter(w for t in texts for w in words(t))
+    top = sorted(counts, key=lambda w: (-counts[w], w))[:own_class]
+    numbers = {w: 63 + k for k, w in enumerate(top)}
+    total, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        if w not in numbers:
+            total[ending(w)] += n
+            kinds[ending(w)] += 1
+    letters = np.ones(257)
+    for w in counts:
+        letters[256] += 1
+        for b in w:
+            letters[b] += 1
+    letters = np.log(letters / letters.sum())
+    out = []
+    for t in texts:
+        ws = words(t)
+        mine = Counter(ws)
+        s = sum(slow_class_scores(net, [numbers.get(w) or ending(w) for w in ws]))
+        for w in ws:
+            if w not in numbers:
+                c = ending(w)
+                floor = DISCOUNT * kinds[c] * np.exp(sum(letters[b] for b in w) + letters[256])
+                s += np.log((max(counts[w] - own * mine[w] - DISCOUNT, 0) + floor) / total[c])
+        out.append(s)
+    return out
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_scores_against_plain_sums(spark, sf, own):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(25)
+    model, rows = _fit(docs, "doc_id", "text", 20, 20, 8, 2, 2_000, 5)
+    texts = [(r.doc_id, None if r.text is None else r.text.encode()) for r in docs.collect()]
+    want = dict(zip((d for d, _ in texts), slow_scores([t for _, t in texts], model.net, 20, own)))
+    for got in (_scored(rows, model, own), score(docs, model, own=own)):
+        found = {r.doc_id: r.log_prob for r in got.collect()}
+        assert found.keys() == want.keys()
+        assert all(np.isclose(found[d], want[d], rtol=1e-4) for d in want)
+
+
+def test_better_than_single_words_whatever_the_partitions(spark):
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scores = []
+    for n in (4, 16, 64):
+        model, rows = _fit(base.repartition(n), "doc_id", "text", 128, 5_000, 16, 4, 100_000, 5)
+        ids = padded([bytes(r.ids) for r in rows.select("ids").collect()])
+        alone = np.log(model.vocabulary.frequency / model.vocabulary.frequency.sum())
+        assert np.mean(model.net.log_prob(ids)[ids > 0]) > np.mean(alone[ids[ids > 0]]) + 0.1
+        scores.append({r.doc_id: r.mean_log_prob for r in _scored(rows, model, True).where("n_tokens > 0").collect()})
+    assert all(abs(scores[0][d] - s[d]) < 1e-3 for s in scores[1:] for d in s)
 
 
 def test_query_ranks_texts_above_their_mixture(spark, sf):
@@ -35,13 +95,12 @@ def test_query_ranks_texts_above_their_mixture(spark, sf):
     assert len(out) == docs.count() and all(r.log_prob < 0 for r in out if r.n_tokens)
 
 
-def test_scores_against_a_plain_sum(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(12)
-    model = fit(docs)
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    for r in score(docs, model).collect():
-        assert r.n_tokens == len(words(texts[r.doc_id].encode()))
-        assert np.isclose(r.log_prob, slow_score(model, texts[r.doc_id].encode()), rtol=1e-4)
+def test_rare_words_that_occur_elsewhere_are_likelier(spark):
+    rows = [(k, f"aa bb cc q{k}x aa bb cc r{k}x") for k in range(40)] + [(100, "aa bb cc q7x aa bb cc r7x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    model, numbered = _fit(frame, "doc_id", "text", 3, 3, 4, 1, 1000, 5)
+    got = {r.doc_id: r.log_prob for r in _scored(numbered, model, True).collect()}
+    assert got[7] == got[100] > max(s for d, s in got.items() if d not in (7, 100))
 
 
 def test_counts_cover_every_document(spark, sf):
@@ -51,32 +110,60 @@ def test_counts_cover_every_document(spark, sf):
     assert got == want
 
 
+def test_every_place_is_learned_from_once():
+    """Runs of places overlap only in what is looked at."""
+    ids = padded([bytes([1, 2, 3, 4, 5]), b"", bytes([6, 7])])
+    seen = []
+    for a in range(0, len(ids), 3):
+        part, places = _around(ids, a, a + 3)
+        seen += part[places].tolist()
+        assert all(part[p - 2 : p + 3].tolist() == ids[q - 2 : q + 3].tolist() for p, q in zip(places, places + max(0, a - 2)))
+    assert seen == [1, 2, 3, 4, 5, 6, 7]
+
+
 def test_gradients():
+    """Of every parameter, against differences of the loss."""
     rng = np.random.default_rng(0)
     net = WindowNet.fresh(9, 3, np.full(9, 1 / 9), 1)
     net = WindowNet(*[p.astype(np.float64) for p in net.params()])
-    ids = rng.integers(1, 9, 30).astype(np.int32)
-    places = np.arange(2, 28)
-    loss = lambda: -np.mean(net.log_prob(ids, places))
-    before = loss()
-    trainer = Trainer(net, rate=0.01)
-    for _ in range(50):
-        trainer.step(ids, places)
-    assert loss() < before - 0.3
-    assert np.allclose(np.exp(net.out[0, 0]), np.exp(net.filled(net.flat()).out[0, 0]), rtol=1e-6)
-
-
-def test_vocabulary():
-    v = Vocabulary([b"the", b"of"])
-    assert v[b"the"] == 63 and v.size == 65 and 1 <= v[b"xyz"] <= 62 and v[b"abcing"] == v[b"wing"]
-    ids, places, sizes = numbered([b"the of", None, b"of"], v)
-    assert ids.tolist() == [0, 0, 63, 64, 0, 0, 0, 0, 64, 0, 0] and sizes.tolist() == [2, 0, 1] and places.tolist() == [2, 3, 8]
+    ids = np.r_[0, 0, rng.integers(1, 9, 30), 0, 0].astype(np.uint8)
+    places = np.flatnonzero(ids)
+    loss = lambda n: -np.sum(n.log_prob(ids)) / len(places)
+    trainer = Trainer(net.filled(net.flat().copy()), rate=1e-6)
+    trainer.step(ids, places)
+    gradient = np.concatenate([m.ravel() for m in trainer.mean]) * 10
+    for k in rng.choice(gradient.size, 40, replace=False):
+        near = []
+        for e in (1e-5, -1e-5):
+            flat = net.flat().copy()
+            flat[k] += e
+            near.append(loss(net.filled(flat)))
+        assert np.isclose((near[0] - near[1]) / 2e-5, gradient[k], rtol=1e-3, atol=1e-7)
+
+
+def test_shares_of_a_class_add_up_to_less_than_one():
+    counts = {b"the": 50, b"of": 40, b"xing": 9, b"ying": 3, b"zing": 1}
+    spelling = np.log(np.full(257, 1 / 257))
+    c = ending(b"xing")
+    assert ending(b"ying") == c
+    v = Vocabulary(sorted(counts.items(), key=lambda x: -x[1])[:4], 2, {c: (13, 3)}, spelling)
+    assert v.classes.tolist() == [63, 64, c, c, 0] and v.shares[:2].tolist() == [0, 0]
+    assert 0 < np.exp(v.shares[2:4]).sum() < 12.1 / 13 and v.frequency[c] == 14
+
+
+def test_numbering(spark):
+    v = Vocabulary([(b"a", 5), (b"b", 3)], 1, {ending(b"b"): (3, 1)}, np.zeros(257))
+    rows = number(spark.createDataFrame([(4, "a b zz a zz y"), (5, None)], "doc_id long, text string"), v).orderBy("doc_id").collect()
+    assert bytes(rows[0].ids) == bytes([63, ending(b"b"), ending(b"zz"), 63, ending(b"zz"), ending(b"y")])
+    assert sorted(r.n for r in rows[0].rare) == [1, 2] and rows[1].rare == [] and rows[1].n_tokens == 0
 
 
 def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
-    docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "a b " * 50_000, 1), (3, "a b", 1), (None, "a", 1)], "doc_id long, text string, log_prob int")
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "a b " * 50_000, 1), (3, "a b", 1), (None, "a", 1), (4, "x" * 100_000, 1)], "doc_id long, text string, log_prob int")
     model = fit(docs)
     got = sorted((str(r.doc_id), r.n_tokens, r.mean_log_prob is None) for r in score(docs, model).collect())
-    assert got == [("1", 0, True), ("2", 0, True), ("3", 2, False), ("3", 100_000, False), ("None", 1, False)]
+    assert got == [("1", 0, True), ("2", 0, True), ("3", 2, False), ("3", 100_000, False), ("4", 1, False), ("None", 1, False)]
+    assert all(np.isfinite(r.log_prob) for r in score(docs, model, own=True).collect())
     empty = fit(docs.limit(0))
     assert isinstance(empty, LanguageModel) and score(docs.limit(0), empty).count() == 0
+    assert [r.n_tokens for r in score(docs.where("doc_id = 3 and length(text) = 3"), empty).collect()] == [2]

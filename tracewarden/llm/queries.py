@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_score
 from ._util import table
 from .chat import format_tree, read_tree
 from .decontaminate import find_phrases, word_count
 from .html_text import extract
 from .langid import fit, held_out, identify
 from .licenses import scan_licenses
+from .lm_score import fit_and_score
 from .media import encode_texts, index
 from .packing import pack_documents
 from .pii import pseudonymize
@@ -39,8 +39,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.fit(docs))
+    return fit_and_score(table(spark, sf_dir, "documents"))
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
