@@ -8,13 +8,11 @@ from tokenizers import Tokenizer
 from tracewarden.llm.packing import ChunkEncoder, TierPacker, pack_documents
 from tracewarden.llm.queries import op1_packing, tokenizer_path
 
-ODD = ["it's 'S don't. ab'.x d's.", "İstanbul ΣΑΣ. ς", "á.b c d\x1ce \t\r\n x", "日本語、テスト。", "1.5,2 x.,y ..", "<|endoftext|> q", "é. ́ .́ ,", "A" * 100 + ". b", "", "   \n", "Ḱ., 'll.", "x&&& y%%% z!!", "a" * 5000, "".join(chr(c) for c in range(0xA0, 0x100)), " ".join(f"x{chr(c)}y" for c in range(0x80, 0x180))]
+ODD = ["it's 'S don't. ab'.x d's.", "İstanbul ΣΑΣ. ς", "á.b c d\x1ce \t\r\n x", "日本語、テスト。", "1.5,2 x.,y ..", "<|endoftext|> q", "a <|endoftext|> B", "x<|startoftext|>Y. <|ENDOFTEXT|> É", "<|endoftext|><|endoftext|>.", "End<|", "Ω <|endoftext|>Σ ", "é. ́ .́ ,", "A" * 100 + ". b", "", "   \n", "Ḱ., 'll.", "x&&& y%%% z!!", "a" * 5000, "".join(chr(c) for c in range(0xA0, 0x100)), " ".join(f"x{chr(c)}y" for c in range(0x80, 0x180))]
 
 
 def plain():
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def test_ids_are_the_tokenizers_own(spark, sf):
@@ -25,6 +23,11 @@ def test_ids_are_the_tokenizers_own(spark, sf):
             assert found == array("I", plain().encode(t or "", add_special_tokens=False).ids).tobytes()
 
 
+def test_special_tokens_are_as_in_a_plain_call():
+    found = ChunkEncoder(tokenizer_path()).encode(["a <|endoftext|> b"])[0]
+    assert list(array("I", found)) == [320, 49407, 321]
+
+
 def check(rows, docs, tiers):
     pieces, sequences = defaultdict(list), defaultdict(list)
     for doc_id, start, length, ids, total, seq, offset, tier, group in rows:

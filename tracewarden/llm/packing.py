@@ -39,7 +39,7 @@ class ChunkEncoder:
 
     The tokenizer's pre-tokenizer never joins characters across a space or a line feed, and its normaliser composes
     nothing with them, so a text's ids are those of its chunks between them, in order. It also ends a token between
-    letters and the punctuation after them, and lower-cases. So a plain word, without case and final punctuation, goes
+    letters and the punctuation after them, and lower-cases. Special tokens hold no space. So a plain word, without case and final punctuation, goes
     to the tokenizer's model alone; other chunks to the whole tokenizer. All are kept until there are ``keep``; then
     the earlier half alone, which has the frequent ones.
     """
@@ -49,7 +49,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.keep = keep
         self.known: dict[str, bytes] = {"": b""}
@@ -105,7 +104,12 @@ class ChunkEncoder:
 
 
 def _lowered(text: str) -> str:
-    """``text``, in lower case if it has no character from U+0100 on: the tokenizer does no more to the case of such a text."""
+    """``text``, in lower case if it has no character from U+0100 on: the tokenizer does no more to the case of such a text.
+
+    Special tokens are looked for before the case changes, so a text that may hold one keeps its case.
+    """
+    if "<|" in text:
+        return text
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
