@@ -6,7 +6,7 @@ import xxhash
 
 from tracewarden.llm.components import components
 from tracewarden.llm.queries import op2_simhash
-from tracewarden.llm.simhash import fingerprint, keep_one, near_duplicates, near_links
+from tracewarden.llm.simhash import bucket_links, fingerprint, keep_one, near_duplicates, near_links
 
 
 def slow_print(text):
@@ -88,5 +88,57 @@ def test_nulls_repeats_and_clashing_columns(spark):
     got = sorted((r.doc_id is None, r.doc_id, r.component_id) for r in near_duplicates(docs).collect())
     assert got == [(False, 3, 3), (False, 3, 3), (False, 5, 3), (False, 7, 7), (False, 9, 7), (True, None, 3)]
     kept = sorted((r.doc_id is None, r.doc_id) for r in keep_one(docs).collect())
-    assert kept == [(False, 3), (False, 7), (True, None)]
+    assert kept == [(False, 3), (False, 7)]  # the null id is a copy of 3 and 5
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_one_tells_rows_by_content(spark):
+    """Not by the id: a document isn't dropped because another one with its id is a copy of something."""
+    a, b = "one two three four five six", "ten eleven twelve thirteen fourteen fifteen"
+    schema = "doc_id long, text string, n map<string,int>"
+    cases = [
+        ([(5, a), (5, b), (3, b)], [(3, b), (5, a)]),
+        ([(5, a), (5, b)], [(5, a), (5, b)]),
+        ([(5, a), (5, a), (5, a)], [(5, a)]),
+        ([(5, a), (5, a.upper())], 1),
+        ([(None, a), (None, b), (None, b), (7, b)], [(7, b), (None, a)]),
+    ]
+    for rows, want in cases:
+        kept = [(r.doc_id, r.text) for r in keep_one(spark.createDataFrame([(*r, {"x": 1}) for r in rows], schema)).collect()]
+        assert len(kept) == want if isinstance(want, int) else sorted(kept, key=str) == sorted(want, key=str)
+    assert keep_one(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_large_buckets_lose_no_link():
+    rng = random.Random(4)
+    for variant, (lo, hi) in ((0, (0, 22)), (30, (22, 43)), (63, (43, 64))):
+        same = rng.getrandbits(64) & sum(1 << b for b in range(lo, hi))
+        prints = [same | rng.getrandbits(64) & ~sum(1 << b for b in range(lo, hi)) for _ in range(300)]
+        for _ in range(300):
+            x = rng.choice(prints)
+            for b in rng.sample(range(64), 4):
+                x ^= 1 << b
+            prints.append(x)
+        prints = sorted(set(prints))
+        import numpy as np
+
+        from tracewarden.llm.simhash import forest
+
+        def groups(links):
+            root = {p: p for p in prints}
+            for x, y in zip(*map(list, links)):
+                lo_, hi_ = sorted((root[int(x)], root[int(y)]))
+                root = {k: lo_ if r == hi_ else r for k, r in root.items()}
+            return root
+
+        assert groups(bucket_links(np.array(prints, np.uint64), variant, 4, large=100)) == groups(forest(np.array(prints, np.uint64), 4))
+
+
+def test_hubs_stay_where_they_are(spark):
+    """A hub of more neighbours than a hot key has, and a group of copies as large."""
+    edges = spark.range(1, 4001).selectExpr("0L as a", "id as b").unionByName(spark.range(5000, 5010).selectExpr("id as a", "id + 1 as b"))
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert got == {**{k: 0 for k in range(1, 4001)}, **{k: 5000 for k in range(5001, 5011)}}
+    docs = spark.range(3000).selectExpr("id + 10 as doc_id", "'some words that are the same' as text").unionByName(spark.range(3).selectExpr("id as doc_id", "concat('other words here ', id) as text"))
+    assert near_duplicates(docs).where("doc_id >= 10").select("component_id").distinct().collect() == [(10,)]
+    assert sorted(r.doc_id for r in keep_one(docs).collect()) == [0, 1, 2, 10]

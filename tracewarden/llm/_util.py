@@ -8,7 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +39,35 @@ def slices(batch: pa.RecordBatch, column: int, rows: int, size: int = 4 << 20) -
         end = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + size, side="right"))))
         yield batch.slice(start, end - start)
         start = end
+
+
+#: A key with more than a ten-thousandth of all rows is hot, so there are fewer than this many of them, whatever the table.
+HOT_KEYS = 10_000
+
+
+def hot_limit(rows: int) -> int:
+    return max(1000, rows // HOT_KEYS)
+
+
+def join_counted(rows: DataFrame, single: DataFrame, key: str, limit: int) -> DataFrame:
+    """``rows`` with the columns of ``single``, which has one row for each key and, as ``n``, how many of ``rows`` have it.
+
+    Keys with more than ``limit`` rows are broadcast, and their rows stay where they are; with ``hot_limit`` of the number
+    of rows there are at most ``HOT_KEYS`` such keys. The others are shuffled, none of them with more than ``limit`` rows.
+    """
+    hot = single.where(F.col("n") > limit).drop("n")
+    cold = single.where(F.col("n") <= limit).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
+def row_key(df: DataFrame) -> Column:
+    """128 bits of all columns of a row, as a string: rows with the same key are the same."""
+    values = [F.to_json(c) if isinstance(f.dataType, MapType) else c for f, c in ((f, F.col(f"`{f.name}`")) for f in df.schema.fields)]
+    nulls = F.concat(*[v.isNull().cast("int").cast("string") for v in values])  # a hash passes over nulls
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), nulls, *values)), 16, "0") for seed in (1, 2)])
+
+
+def small_side(df: DataFrame, most: int) -> DataFrame:
+    """``df``, to be broadcast if it is found to have at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df

@@ -15,10 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from ._util import cut
+from ._util import cut, hot_limit, join_counted, row_key, slices, small_side
 from .components import components
 from .jaccard import near_copies
 
@@ -45,9 +44,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fingerprint as a signed long), a row for each row of ``docs``. A null text has no words."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["doc_id", "fingerprint"])
+        for whole in batches:
+            for b in slices(whole, 1, 2000):
+                found = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["doc_id", "fingerprint"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(compute, "doc_id long, fingerprint long")
 
@@ -75,6 +75,25 @@ def forest(prints: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
+def bucket_links(prints: np.ndarray, variant: int, max_bits: int, large: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what is near in one bucket.
+
+    At 100 TB a bucket has thousands of fingerprints that agree in its segment by chance. Two that differ in at most
+    max_bits bits agree in one of max_bits + 1 blocks of the other bits too, so a large bucket is searched block by block.
+    """
+    if len(prints) <= large:
+        parts = [forest(prints, max_bits)]
+    else:
+        lo, hi = next(s for k, s in enumerate(SEGMENTS) if variant < sum(b - a for a, b in SEGMENTS[: k + 1]))
+        parts = []
+        for block in np.array_split([b for b in range(64) if not lo <= b < hi], max_bits + 1):
+            own = prints & np.uint64(sum(1 << int(b) for b in block))
+            order = np.argsort(own)
+            cuts = np.flatnonzero(np.diff(own[order])) + 1
+            parts += [forest(run, max_bits) for run in np.split(prints[order], cuts) if len(run) > 1]
+    return tuple(np.array([x for p in parts for x in p[side]], np.uint64) for side in (0, 1))
+
+
 def _linked(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
     """From rows (variant, key, fingerprint), sorted, to links. A run of equal (variant, key) may span batches."""
     held: list[np.ndarray] = []
@@ -94,9 +113,9 @@ def _linked(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Rec
             left.append(prints[i])
             right.append(prints[i + step])
         for f, n in zip(first[size > 16].tolist(), size[size > 16].tolist(), strict=True):
-            a, b = forest(prints[f : f + n], max_bits)
-            left.append(np.array(a, np.uint64))
-            right.append(np.array(b, np.uint64))
+            a, b = bucket_links(prints[f : f + n], int(rows[f, 0]), max_bits)
+            left.append(a)
+            right.append(b)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right))
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
@@ -140,29 +159,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored; an empty table gives an empty result.
     """
     each = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut(each.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    nodes = cut(each.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(near_links(nodes, max_bits))
-    rooted = nodes.join(roots, nodes.fingerprint == roots.node, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return each.join(rooted.join(groups, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    rooted = nodes.join(roots, nodes.fingerprint == roots.node, "left").select("fingerprint", "least", "n", F.coalesce("root", "fingerprint").alias("root"))
+    return join_counted(each, _labelled(rooted, "least"), "fingerprint", hot_limit(each.count())).select("doc_id", "fingerprint", "component_id")
+
+
+def _labelled(rooted: DataFrame, least: str) -> DataFrame:
+    """``rooted`` (a row for each node, with its ``root``), and as ``component_id`` the least value in the root's component."""
+    rooted = cut(rooted)
+    groups = cut(rooted.groupBy("root").agg(F.min(least).alias("component_id"), F.count("*").alias("n")))
+    return cut(join_counted(rooted.withColumnRenamed("n", "copies"), groups, "root", hot_limit(rooted.count())).withColumnRenamed("copies", "n"))
 
 
-#: At most so many ids, eight bytes each, are sent to every executor.
-BROADCAST_IDS = 500_000
+#: At most so many row keys, 32 bytes each, are sent to every executor.
+BROADCAST_ROWS = 200_000
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near copies (``jaccard.near_copies``): that with the least id, once.
+    """``docs`` with one row of each group of near copies (``jaccard.near_copies``): that with the least id.
 
-    A document without an id can't be told from others of its kind and stays. Texts stay where they are if the ids that
-    go are few enough to be broadcast, which is checked; else they are shuffled once.
+    Rows without an id come after all others; among equal ids the least hash of the whole row decides. A row is told by
+    its whole content, not by its id, so different documents with one id are not taken for each other, and of rows that
+    are equal in everything one stays. Texts stay where they are if the rows that go are few enough to be broadcast,
+    which is checked; else they are shuffled once.
     """
-    found = cut(near_copies(docs, id_col, text_col))
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti")
-    kept = found.where("doc_id = component_id")
-    if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows
-        rank = Window.partitionBy(id_col).orderBy(*[c for c in docs.columns if c != id_col])
-        numbered = out.where(F.col(id_col).isNotNull()).withColumn("__rank", F.row_number().over(rank)).where("__rank = 1").drop("__rank")
-        out = numbered.unionByName(out.where(F.col(id_col).isNull()))
+    keyed = docs.withColumn("__row", row_key(docs))
+    found = cut(near_copies(keyed, id_col, text_col, keep="__row"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__row").alias("row"))).alias("first"))
+    kept = first.select(F.col("first.row").alias("__row"), F.lit(True).alias("kept"))
+    rows = cut(found.groupBy("__row").agg(F.count("*").alias("n")).join(kept, "__row", "left"))
+    out = keyed.join(small_side(rows.where("kept is null").select("__row"), BROADCAST_ROWS), "__row", "left_anti")
+    twice = rows.where("kept and n > 1").select("__row")
+    if not twice.isEmpty():
+        twice = small_side(twice, BROADCAST_ROWS)
+        out = out.join(twice, "__row", "left_anti").unionByName(out.join(twice, "__row", "left_semi").dropDuplicates(["__row"]))
     return out.select(docs.columns)
