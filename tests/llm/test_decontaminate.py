@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from tracewarden.llm.decontaminate import drop_contaminated, find_phrases, postings, search_postings, word_count
+from tracewarden.llm.decontaminate import build_index, drop_contaminated, find_phrases, open_index, search_index, store_index, word_count
 from tracewarden.llm.queries import op9_decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -53,27 +53,46 @@ def random_tables(spark):
 def test_random_texts_in_one_block_and_in_many(spark):
     docs, items, d, i = random_tables(spark)
     wanted = slow(docs, items)
-    for block in (1 << 20, 60):
+    for block in (1 << 20, 150):
         got = sorted((r.doc_id, r.n_words, r.n, r["items"]) for r in find_phrases(d, i, block_bytes=block).withColumn("n", word_count()).collect())
         assert got == wanted
         clean = {r.doc_id for r in drop_contaminated(d, i, block_bytes=block).collect()}
         assert clean == {w[0] for w in wanted if not w[2]}
 
 
-def test_stored_postings(spark, tmp_path):
+def test_stored_index(spark, tmp_path):
+    """An index that was stored before there were items, of rows that come out of a shuffle."""
     docs, items, d, i = random_tables(spark)
-    for block in (1 << 20, 60):
-        path = str(tmp_path / f"index{block}")
-        postings(d, i, block_bytes=block).write.parquet(path)
-        found = search_postings(spark.read.parquet(path), i).collect()
-        by_doc = {}
-        for r in found:
-            hit, names = by_doc.setdefault(r.doc_id, (set(), set()))
-            hit.update(range(r.start, r.start + r.size))
-            names.add(r.item)
-        want = {w[0]: (w[2], w[3]) for w in slow(docs, items) if w[2]}
-        assert {k: (len(h), sorted(n)) for k, (h, n) in by_doc.items()} == want
-    assert postings(d.limit(0), i).count() == 0 and search_postings(postings(d, i), i.limit(0)).count() == 0
+    path = str(tmp_path / "index")
+    index = store_index(build_index(d.repartition(5), rows=7), path)
+    held = index.where("n > 0").selectExpr("sum(n) as n", "sum(length(places)) as b", "count(distinct segment) as s").first()
+    assert held.n == sum(w[1] for w in slow(docs, [])) and held.b == 4 * held.n and held.s > 5
+    want = slow(docs, items)
+    for block, everything in ((150, True), (1 << 20, False)):
+        found = search_index(open_index(spark, path), i, near_terms=None, block_bytes=block, all_docs=everything).withColumn("n", word_count())
+        assert sorted((r.doc_id, r.n_words, r.n, r["items"]) for r in found.collect()) == [w for w in want if everything or w[2]]
+    nothing = build_index(d.limit(0))
+    assert nothing.count() == 0 and search_index(nothing, i).count() == 0 and search_index(index, i.limit(0), all_docs=False).count() == 0
+
+
+def test_proximity_in_one_block_and_in_many(spark):
+    items = [(k, " ".join(f"w{(k + j) % 30}" for j in range(11))) for k in range(4)]
+    docs = [(k, " ".join(f"w{(2 * k + j + (j > 5)) % 30}" for j in range(14))) for k in range(30)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({r.doc_id: (r["items"], r.near_items) for r in find_phrases(d.repartition(3), i, block_bytes=b).collect()} for b in (1 << 20, 100))
+    assert one == many and any(n for _, n in one.values())
+
+
+def test_rows_that_go(spark):
+    """Told by their text, not by their id; nulls, repeats and clashing columns."""
+    text = "a b c d e f g h i j"
+    rows = [(1, text, 1), (1, "clean", 1), (2, f"x {text} y", 1), (2, f"x {text} y", 1), (3, None, 1), (4, "", 1), (4, "", 1), (None, text, 1), (None, "b a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept int")
+    items = spark.createDataFrame([(None, text)], "item_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in drop_contaminated(docs, items).collect()), key=str)
+    assert got == sorted([(1, "clean"), (3, None), (4, ""), (4, ""), (None, "b a")], key=str)
+    assert drop_contaminated(docs, items.limit(0)).count() == len(rows) and drop_contaminated(docs.limit(0), items).count() == 0
+    assert drop_contaminated(docs, items).columns == docs.columns
 
 
 def test_proximity(spark):
@@ -113,7 +132,9 @@ def test_proximity_against_brute_force(spark):
 
 def test_nulls_repeats_empties_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, None, "s"), (1, "a b", "s"), (1, "a b", "s"), (None, "A b!", "s")], "doc_id long, text string, spans string")
-    items = spark.createDataFrame([(None, "a b", 1), (4, "a B", 1)], "item_id long, text string, words int")
+    items = spark.createDataFrame([(None, "a b", 1), (4, "a B", 1), (None, "q", 1)], "item_id long, text string, words int")
+    only = find_phrases(spark.createDataFrame([(1, "p q")], "doc_id long, text string"), items).first()
+    assert (only["items"], [tuple(s) for s in only.spans]) == ([], [(1, 2)])  # an item without id
     got = [(r.doc_id, r.n_words, r["items"]) for r in find_phrases(docs, items).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, []), (1, 2, ["4"]), (1, 2, ["4"]), (None, 2, ["4"])], key=str)
     assert find_phrases(docs.limit(0), items).count() == 0

@@ -128,7 +128,7 @@ ORACLE_SQL: dict[str, str] = {
     hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS p FROM occ) GROUP BY 1),
     its AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS ids FROM occ GROUP BY 1),
     df AS (SELECT word, count(*) AS c FROM tok GROUP BY 1),
-    anc AS (SELECT item, win, x FROM (SELECT item, win, x, row_number() OVER (PARTITION BY item, win ORDER BY coalesce(c, 0), k) AS r FROM (SELECT item, win, unnest(win) AS x, unnest(range(10)) AS k FROM win WHERE len(win) = 10) LEFT JOIN df ON word = x) WHERE r <= 2),
+    anc AS (SELECT item, win, x FROM (SELECT item, win, x, row_number() OVER (PARTITION BY item, win ORDER BY coalesce(c, 0), k) AS r FROM (SELECT item, win, unnest(win) AS x, unnest(range(10)) AS k FROM win WHERE len(win) = 10 AND item IS NOT NULL) LEFT JOIN df ON word = x) WHERE r <= 2),
     cand AS (SELECT DISTINCT doc_id, item, win, unnest(range(greatest(1, pos - 15), pos + 1)) AS s FROM anc JOIN tok ON word = x),
     near AS (SELECT DISTINCT c.doc_id, c.item FROM cand c JOIN tok t ON t.doc_id = c.doc_id AND t.pos = c.s WHERE len(list_filter(c.win, lambda v: list_contains(t.span, v))) >= 9),
     n AS (SELECT doc_id, count(*) AS n FROM (SELECT * FROM near EXCEPT SELECT doc_id, item FROM occ) GROUP BY 1)
