@@ -35,3 +35,20 @@ def test_nulls_letters_lengths_and_clashing_columns(spark):
     assert fit(docs.where("lang is null")) is None
     assert predict(None, ["text"]) == (["und"], [0.0])
     assert docs.where(held_out()).count() < docs.count()
+
+
+def test_stage_rule(spark):
+    """The prediction decides; without labels every text with a letter stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = fit(docs.where(~held_out()), max_rows=1500)
+    texts = {r.lang: r.text for r in docs.where("length(text) between 1500 and 4000 and lang is not null").orderBy("doc_id").collect()}
+    mixed = "".join(t[k : k + 256].ljust(256) for k in range(0, 1024, 256) for t in texts.values())
+    rows = [(k, t, c) for k, (c, t) in enumerate(sorted(texts.items()))] + [(10, mixed, None), (11, "12 ...", None), (12, None, None), (13, "", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    everything = {k for k, _, c in rows if c}
+    assert {r.doc_id for r in keep_identified(frame, net).collect()} == everything
+    assert {r.doc_id for r in keep_identified(frame, net, wanted=["de"]).collect()} == {k for k, _, c in rows if c == "de"}
+    assert {r.doc_id for r in keep_identified(frame, None).collect()} == everything | {10}
+    assert keep_identified(frame, net).columns == frame.columns and keep_identified(frame.limit(0), net).count() == 0
+    kept = keep_identified(docs, net).count()
+    assert kept == docs.where("text rlike '[\\\\p{L}]'").count()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ from .packing import pack_documents
 from .pii import pseudonymize
 from .simhash import near_duplicates
 
-#: A deployment passes its own secret; surrogates can be recomputed only with it.
-SURROGATE_KEY = "example-key"
+#: A deployment sets its own secret in the session's settings; surrogates can be recomputed only with it.
+SURROGATE_KEY, KEY_SETTING = "example-key", "spark.tracewarden.surrogateKey"
 WORD_TOKENIZER = "word_bpe_49k.json"
 
 
@@ -28,6 +30,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(WORD_TOKENIZER)
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: surrogates are made with a key that everyone knows", stacklevel=2)
+    return key or SURROGATE_KEY
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
@@ -104,7 +113,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    found = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark))
     kinds = F.array_join(F.transform("entities", lambda e: e["kind"]), ",")
     return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"))
 
