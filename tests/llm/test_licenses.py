@@ -1,5 +1,7 @@
 import random
 import re
+import time
+from collections import Counter
 from difflib import SequenceMatcher
 
 from tracewarden.llm.licenses import TEMPLATES, Scanner, align, increasing, scan_licenses, words
@@ -59,3 +61,31 @@ def test_nulls_repeats_clashing_columns_and_long_texts(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, text, 1), (3, text, 1), (4, "license " * 20_000, 1), (None, TEMPLATES["unlicense"], 1)], "doc_id long, text string, coverage int")
     assert sorted((str(r.doc_id), r.license) for r in scan_licenses(docs).collect()) == [("3", "mit"), ("3", "mit"), ("None", "unlicense")]
     assert scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_whichever_words_are_changed():
+    """At most a quarter of the words missing or replaced, the rarest ones first or any: whatever aligns well enough is found."""
+    rng = random.Random(8)
+    scanner = Scanner(TEMPLATES, 0.75)
+    prose = [f"w{k}" for k in range(50)] + ["the", "of", "and", "to", "license", "software"]
+    spread = Counter(w for t in scanner.templates.values() for w in set(t))
+    for name, template in scanner.templates.items():
+        n = len(template)
+        for trial in range(12):
+            changed = sorted(range(n), key=lambda k: (spread[template[k]], -len(template[k])))[:4] if trial == 0 and n > 20 else rng.sample(range(n), rng.randint(0, n - scanner._needed(n)))
+            ws = [rng.choice(prose) if k in changed and rng.random() < 0.5 else w for k, w in enumerate(template) if k not in changed or rng.random() < 0.5]
+            pairs = align(ws, template)
+            around = [[rng.choice(prose) for _ in range(rng.randint(0, 300))] for _ in range(2)]
+            found = [f for f in scanner.scan("\n".join(around[0] + ws + around[1])) if f[0] == name]
+            if len(pairs) >= scanner._needed(n):
+                assert found or any(f[4] >= len(pairs) for f in scanner.scan(" ".join(ws))), (name, trial)
+
+
+def test_many_seeds_take_no_more_than_their_length():
+    scanner = Scanner(TEMPLATES, 0.75)
+    seconds = []
+    for text in ("the software " * 16_000, "permission notice " * 16_000, "license or " * 16_000, "in the software or the use " * 4_000):
+        began = time.perf_counter()
+        scanner.scan(text)
+        seconds.append(time.perf_counter() - began)
+    assert max(seconds) < 3

@@ -2,21 +2,24 @@
 
 A document's words are aligned with a license template: words that occur once in both are anchors, the longest
 increasing subsequence of their places is kept, and the gaps between kept anchors are aligned in the same way. What is
-aligned, as a share of the template's words, is its coverage. A document is looked at in regions around the template's
-rarest words, so that a notice inside a long document is found however often its other words occur there.
+aligned, as a share of the template's words, is its coverage. A document is looked at wherever it holds a short run of
+the template's words, so that a notice inside a long document is found whichever of its words are changed.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._util import slices
+
 # Notices and texts of public licenses.
 TEMPLATES = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -55,8 +58,6 @@ TEMPLATES = {
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: Every template has one of these; texts without any are never split into words.
-HINT = r"(?i)licen[cs]e|permission|redistribution|public\s+domain"
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 SCHEMA = "doc_id long, license string, coverage double, start long, end long, matched long"
 
@@ -110,67 +111,89 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
+    """Finds every stretch of a text that a template covers well enough.
+
+    Seeds are all runs of a template's words of such a length that a text which covers enough of it holds one, whichever
+    words are missing or replaced: n - c of n words part the others into n - c + 1 runs at most, and the longest of these
+    has c / (n - c + 1) words. Each seed says where in the text the template would begin. Only words put between nearly
+    all of a notice's words can hide it.
+    """
+
     def __init__(self, templates: dict[str, str], min_coverage: float):
         self.min_coverage = min_coverage
         self.templates = {k: words(t) for k, t in templates.items()}
-        spread = Counter(w for t in self.templates.values() for w in set(t))
-        # a template is sought around its words that fewest templates have
-        self.keys = {k: set(sorted(set(t), key=lambda w: (spread[w], -len(w), w))[:4]) for k, t in self.templates.items()}
+        self.seeds: dict[tuple[str, ...], list[tuple[str, int]]] = {}
+        for name, template in self.templates.items():
+            n = len(template)
+            missing = n - self._needed(n)
+            size = max(1, self._needed(n) // (missing + 1))
+            for o in range(n - size + 1):
+                self.seeds.setdefault(tuple(template[o : o + size]), []).append((name, o))
+        self.bags = {k: Counter(t) for k, t in self.templates.items()}
+        self.sizes = sorted({len(s) for s in self.seeds})
+        self.first = {s[0] for s in self.seeds}
+
+    def _needed(self, n: int) -> int:
+        return -(-int(n * self.min_coverage * 10_000 + 0.5) // 10_000)
+
+    def begins(self, ws: list[str]) -> dict[str, Counter]:
+        """Where each template would begin, and how many seeds in the text say so."""
+        found: dict[str, Counter] = {}
+        first, seeds, sizes = self.first, self.seeds, self.sizes
+        for k, w in enumerate(ws):
+            if w in first:
+                for size in sizes:
+                    for name, o in seeds.get(tuple(ws[k : k + size]), ()):
+                        found.setdefault(name, Counter())[k - o] += 1
+        return found
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, first word, last word + 1, words aligned) of every region that a template covers well enough, best one for each place."""
-        if not text or not re.search(HINT, text):
-            return []
-        ws = words(text)
-        places: dict[str, list[int]] = {}
-        wanted = set().union(*self.keys.values())
-        for k, w in enumerate(ws):
-            if w in wanted:
-                places.setdefault(w, []).append(k)
-        found = []
-        for name, template in self.templates.items():
-            n = len(template)
-            hits = sorted(k for w in self.keys[name] for k in places.get(w, ()))
-            regions: list[list[int]] = []
-            for k in hits:  # hits closer than the template is long are one region
-                if regions and k - regions[-1][1] <= n:
-                    regions[-1][1] = k
-                else:
-                    regions.append([k, k])
-            for lo, hi in regions:
-                found.extend(self._within(name, template, ws, max(0, lo - n), min(len(ws), hi + n + 1), set(hits)))
+        ws = words(text or "")
+        found = [f for name, votes in self.begins(ws).items() for f in self._within(name, ws, votes)]
         found.sort(key=lambda f: (-f[4], -f[1], f[3] - f[2], f[2], f[0]))
         kept: list = []
+        starts: list[int] = []  # of those kept, which don't overlap
         for f in found:
-            if all(f[3] <= g[2] or f[2] >= g[3] for g in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: f[2])
-
-    def _within(self, name: str, template: list[str], ws: list[str], lo: int, hi: int, hits: set[int]) -> Iterator[tuple]:
-        """Alignments inside a region. Windows that hold one copy come first, laid by the key's place in the template, for the words of a copy are unique only by themselves; the stretches they leave get wide windows."""
-        n, slack = len(template), max(2, len(template) // 4)
-        offsets: dict[str, list[int]] = {}
-        for o, w in enumerate(template):
-            if w in self.keys[name]:
-                offsets.setdefault(w, []).append(o)
-        inside, done, taken = sorted(k for k in hits if lo <= k < hi), lo, []
-        for k in inside:
-            if k < done:
+            at = bisect_left(starts, f[2])
+            if (at == len(kept) or f[3] <= kept[at][2]) and (at == 0 or kept[at - 1][3] <= f[2]):
+                kept.insert(at, f)
+                starts.insert(at, f[2])
+        return kept
+
+    def _within(self, name: str, ws: list[str], votes: Counter) -> list[tuple]:
+        """Alignments where the template may begin, what most seeds say first; later ones get what is left between them."""
+        template = self.templates[name]
+        n = len(template)
+        slack = max(2, n // 4)
+        bag, needed = self.bags[name], self._needed(n)
+        inside = [0, *accumulate(w in bag for w in ws)]
+        places, alive, k = sorted(votes), [], 0
+        while k < len(places):
+            j = k + 1
+            while j < len(places) and places[j] - places[k] <= slack:
+                j += 1
+            lo, hi = max(0, places[k] - slack), min(len(ws), places[j - 1] + 2 * n)
+            # fewer of the template's words than are needed can't cover it, however they lie
+            if hi > lo and inside[hi] - inside[lo] >= needed and sum((Counter(ws[lo:hi]) & bag).values()) >= needed:
+                alive += places[k:j]
+            k = j
+        taken: list[tuple[int, int, tuple | None]] = []  # stretches that are done, apart from each other
+        for begin in sorted(alive, key=lambda b: (-votes[b], b)):
+            at = bisect_left(taken, (begin + n // 2,))
+            if at and taken[at - 1][1] > begin + n // 2:
                 continue
-            tries = (self._aligned(name, template, ws, max(done, k - o - s), min(hi, k - o + n + s)) for s in (0, slack) for o in offsets[ws[k]])
-            best = max((t for t in tries if t), key=lambda t: (t[4], t[2] - t[3]), default=None)
+            lo, hi = (taken[at - 1][1] if at else 0), (taken[at][0] if at < len(taken) else len(ws))
+            best = None
+            for d, e in ((0, 0), (0, slack), (-slack, 0), (-slack, slack), (0, n), (-slack, n)):
+                t = self._aligned(name, template, ws, max(lo, begin + d), min(hi, begin + n + e))
+                if t and (best is None or (t[4], t[2] - t[3]) > (best[4], best[2] - best[3])):
+                    best = t
+                if best and best[1] == 1:
+                    break
             if best:
-                yield best
-                taken.append(best)
-                done = best[3]
-        for start, end in zip([lo, *(t[3] for t in taken)], [*(t[2] for t in taken), hi], strict=True):
-            done = start
-            for k in inside:
-                if max(start, done) <= k < end:
-                    begin = max(done, k - n)
-                    if t := self._aligned(name, template, ws, begin, min(end, begin + 3 * n)):
-                        yield t
-                        done = t[3]
+                insort(taken, (best[2], best[3], best))
+        return [t[2] for t in taken]
 
     def _aligned(self, name: str, template: list[str], ws: list[str], begin: int, end: int) -> tuple | None:
         n = len(template)
@@ -181,25 +204,24 @@ class Scanner:
         middle = pairs[len(pairs) // 2][0] - pairs[len(pairs) // 2][1]
         near = [p for p in pairs if abs(p[0] - p[1] - middle) <= n]
         first, last = begin + near[0][0], begin + near[-1][0] + 1
-        return (name, len(near) / n, first, last, len(near)) if len(near) / n >= self.min_coverage and last - first <= 2 * n else None
+        return (name, len(near) / n, first, last, len(near)) if len(near) >= self._needed(n) and last - first <= 2 * n else None
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, min_coverage: float = 0.75) -> DataFrame:
     """A row (columns as in SCHEMA) for each license notice in each row of ``docs``; places are word numbers.
 
-    Whole texts are read; those without any word that hints at a license have no rows and never leave the JVM. Null and
-    empty texts have none. Repeated documents give repeated rows; other columns are ignored.
+    Whole texts are read. Null and empty texts have no rows. Repeated documents give repeated rows; other columns are
+    ignored; an empty table gives none.
     """
     templates = TEMPLATES if templates is None else templates
-    if missing := [k for k, t in templates.items() if not re.search(HINT, t)]:
-        raise ValueError(f"templates without a hint of a license: {missing}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, min_coverage)
-        for b in batches:
-            rows = [(i, *f) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for f in scanner.scan(t)]
-            if rows:
-                types = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "license", "coverage", "start", "end", "matched"])
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(text_col).rlike(HINT)).mapInArrow(run, SCHEMA)
+        for whole in batches:
+            for b in slices(whole, 1, 2000):
+                rows = [(i, *f) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for f in scanner.scan(t)]
+                if rows:
+                    types = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "license", "coverage", "start", "end", "matched"])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)

@@ -245,7 +245,18 @@ def _vocabulary(counts: DataFrame, frequent: int, words_held: int) -> tuple[Voca
     """The vocabulary of a table of counts, and the number of words in the corpus."""
     if not 0 <= frequent <= 255 - ENDINGS:
         raise ValueError("at most 193 words can be classes of their own")
-    top = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(max(frequent, words_held)).select("word", "n").collect()]
+    # all words that occur often enough, so that no more than ``words_held`` ever leave the tasks
+    size = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.shiftleft(F.lit(1).cast("long"), F.floor(F.log2("n")).cast("int")))
+    enough, held = None, 0
+    for r in sorted(counts.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
+        held += r["count"]
+        if held > words_held:
+            break
+        enough = r["size"]
+    often = [] if enough is None else counts.where(F.col("n") >= enough).select("word", "n").collect()
+    if len(often) < frequent:
+        often = counts.orderBy(F.desc("n"), "word").limit(frequent).select("word", "n").collect()
+    top = sorted(((bytes(r.word), r.n) for r in often), key=lambda w: (-w[1], w[0]))
     by_ending = F.crc32(F.substring("word", -3, 3)) % ENDINGS + 1
     totals = {r.c: [r.n, r.kinds] for r in counts.groupBy(by_ending.cast("int").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
     tokens = sum(n for n, _ in totals.values())
@@ -348,7 +359,7 @@ def _fit(docs: DataFrame, id_col: str, text_col: str, frequent: int, words_held:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 128, words_held: int = 131_072, width: int = 16, rounds: int = 4, per_learner: int = 2_000_000, seed: int = 5) -> LanguageModel:
     """A model of the corpus, all of it. An empty one gives a model that knows no word.
 
-    ``frequent`` words are classes of their own, counts of ``words_held`` words go to every task, a learner takes about
+    ``frequent`` words are classes of their own, counts of the most frequent words, ``words_held`` at most, go to every task, a learner takes about
     ``per_learner`` places (4,096 learners at most).
     """
     return _fit(docs, id_col, text_col, frequent, words_held, width, rounds, per_learner, seed)[0]
