@@ -1,8 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides each block by itself: the page's own structure
-(navigation, forms, asides, elements named as adverts, comments and the like, and the article) where it speaks, else
-link density, stop-word density and length. Blocks that are too short to tell stay open. The second pass gives an open
+A page is cut into blocks at block-level tags. The first pass decides each block by itself, by its link density,
+stop-word density and length and by what the page's own structure says (navigation, forms, asides, elements named as
+adverts, comments and the like, and the article). Blocks that are too short to tell stay open. The second pass gives an open
 block the label of its nearest decided neighbours: main text if both sides are, or if the nearer one is; boilerplate
 otherwise.
 """
@@ -10,6 +10,7 @@ otherwise.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -18,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._util import slices
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 # Elements by what they do in HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg math select object canvas audio video map".split())
+RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg select object canvas audio video map".split())
 DROPPED = frozenset("nav aside footer form menu dialog button head fieldset label datalist".split())
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "legend", "summary"}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist".split())
@@ -34,6 +37,9 @@ BAD_NAMES = frozenset(
     "newsletter subscribe subscription signup signin login search widget widgets pagination pager copyright masthead toolbar skip hidden".split()
 )
 GOOD_NAMES = frozenset("article content post entry story main body maincontent articlebody".split())
+SURE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent comment comments commentlist disqus hidden".split())
+LAYOUT_NAMES = GOOD_NAMES | frozenset("wrap wrapper container page layout site inner outer row grid area".split())
+ABSENT = frozenset("no not has have with without is non hide".split())
 # Frequent function words of several languages.
 STOPWORDS = frozenset(
     "the of and to in a is that it for on was with be as by this are from at an or not have has but they his her which you we all were their one there been if who "
@@ -59,8 +65,20 @@ class Block:
     heading: bool
 
 
+def _named(token: str) -> int:
+    """What a class name or an id says: GOOD, BAD or nothing. A name that says what is absent or beside (no-comments,
+    has-sidebar), or that has both kinds of words (content-sidebar-wrap), says nothing, unless it is about comments or adverts."""
+    parts = [p.lower() for p in NAME_PART.findall(token)]
+    if not parts or (parts[0] in ABSENT and len(parts) > 1):
+        return OPEN
+    bad = BAD_NAMES.intersection(parts)
+    if bad and (bad & SURE_NAMES or not LAYOUT_NAMES.intersection(parts)):
+        return BAD
+    return GOOD if not bad and GOOD_NAMES.intersection(parts) else OPEN
+
+
 def _standing(tag: str, attributes: str, article: bool) -> int:
-    """What an element's own name, class, id and role say of what is in it."""
+    """What an element's own name, class, id and role say of what is in it; good names come before bad ones."""
     if (tag in DROPPED and tag != "form") or (tag == "header" and not article):
         return BAD
     if tag in ("html", "body"):
@@ -77,28 +95,28 @@ def _standing(tag: str, attributes: str, article: bool) -> int:
                     return BAD
                 value = GOOD if said.lower() in ("main", "article") else value
             elif name in ("class", "id"):
-                for whole in said.split():
-                    parts = {p.lower() for p in NAME_PART.findall(whole)}
-                    if tag not in ("article", "main") and parts & BAD_NAMES:
-                        soft = True
-                    if parts & GOOD_NAMES:
-                        value = GOOD
-    return SOFT if soft else value
+                said = [_named(token) for token in said.split()]
+                if GOOD in said:
+                    value = GOOD
+                elif BAD in said and tag not in ("article", "main"):
+                    soft = True
+    return SOFT if soft and (value != GOOD or tag == "form") else value
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks in order, white space and character references resolved, empty ones left out.
 
     What a class name, an id or a form makes boilerplate is left out unless it wraps the page: as long as the page marks
-    no article elsewhere, such an element that holds an article, or most of the text outside links, says nothing.
+    no article elsewhere, such an element that holds an article, or most of the text outside links (for comments and
+    adverts: four fifths of it), says nothing.
     """
     ignored: set[int] = set()
     while True:
         out, outside, held = _blocks(html, ignored)
         if any(b.inside == GOOD for b in out) or not held:
             return out
-        total = outside + sum(n for n, _ in held.values())
-        wrappers = {k for k, (_, marked) in held.items() if marked} or {k for k, (n, _) in held.items() if 2 * n > total}
+        total = outside + sum(n for n, _, _ in held.values())
+        wrappers = {k for k, (_, marked, _) in held.items() if marked} or {k for k, (n, _, sure) in held.items() if (n > 0.8 * total if sure else 2 * n > total)}
         if not wrappers:
             return out
         ignored |= wrappers
@@ -109,6 +127,8 @@ def _blocks(html: str, ignored: set[int]) -> tuple[list[Block], int, dict[int, l
     out: list[Block] = []
     outside, held, soft, hard = 0, {}, [], []  # depths of open SOFT elements and of BAD ones in them
     open_tags: list[tuple[str, int]] = []  # element and what holds inside it
+    is_open: Counter = Counter()
+    muted: list[str] = []  # an inline element that doesn't belong to the text, and those of its name in it
     text: list[str] = []
     links = n_links = in_link = 0
     heading = False
@@ -117,13 +137,14 @@ def _blocks(html: str, ignored: set[int]) -> tuple[list[Block], int, dict[int, l
         return open_tags[-1][1] if open_tags else OPEN
 
     def end_block() -> None:
-        nonlocal links, n_links, heading
+        nonlocal links, n_links, heading, in_link
         if text:
             joined = SPACE.sub(" ", unescape("".join(text))).strip()
             if joined:
                 out.append(Block(joined, links, n_links, state(), heading))
             text.clear()
-        links = n_links = 0
+        links = n_links = in_link = 0  # what isn't closed ends with its block
+        muted.clear()
         heading = False
 
     def forget() -> None:
@@ -132,12 +153,15 @@ def _blocks(html: str, ignored: set[int]) -> tuple[list[Block], int, dict[int, l
         while hard and hard[-1] >= len(open_tags):
             hard.pop()
 
+    def pop(k: int) -> None:
+        for name, _ in open_tags[k:]:
+            is_open[name] -= 1
+        del open_tags[k:]
+        forget()
+
     def close(tag: str) -> None:
-        for k in range(len(open_tags) - 1, -1, -1):
-            if open_tags[k][0] == tag:
-                del open_tags[k:]
-                forget()
-                return
+        if is_open[tag]:
+            pop(next(k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == tag))
 
     at, size = 0, len(html)
     while at < size:
@@ -150,6 +174,8 @@ def _blocks(html: str, ignored: set[int]) -> tuple[list[Block], int, dict[int, l
                 piece = ""
             elif piece[0] == "<" and len(piece) > 1:
                 continue
+            if muted:
+                continue
             if piece and state() == BAD and soft and not hard and not in_link:
                 held[soft[0][1]][0] += len(piece.strip())
             if piece and state() != BAD:
@@ -163,6 +189,8 @@ def _blocks(html: str, ignored: set[int]) -> tuple[list[Block], int, dict[int, l
         if m[1]:
             if tag == "a":
                 in_link = 0
+            if muted and tag == muted[-1]:
+                muted.pop()
             if tag in BLOCKS or tag in DROPPED:
                 end_block()
                 close(tag)
@@ -177,16 +205,17 @@ def _blocks(html: str, ignored: set[int]) -> tuple[list[Block], int, dict[int, l
             continue
         if tag in VOID and tag != "hr":
             continue
-        if tag == "a":
+        if tag not in BLOCKS and tag not in DROPPED and (muted[-1] == tag if muted else m[3] and _standing(tag, m[3], True) in (BAD, SOFT)):
+            muted.append(tag)
+            text.append(" ")
+        if tag == "a" and not muted:
             in_link, n_links = 1, n_links + 1
         if tag in BLOCKS or tag in DROPPED:
             end_block()
             if tag in ENDS_P and open_tags and open_tags[-1][0] == "p":
-                open_tags.pop()
-                forget()
+                pop(len(open_tags) - 1)
             elif tag == "li" and open_tags and open_tags[-1][0] == "li":
-                open_tags.pop()
-                forget()
+                pop(len(open_tags) - 1)
             if tag != "hr":
                 above = state()
                 own = _standing(tag, m[3], above == GOOD) if above != BAD or soft else BAD
@@ -200,32 +229,43 @@ def _blocks(html: str, ignored: set[int]) -> tuple[list[Block], int, dict[int, l
                     own = OPEN if at in ignored else BAD
                     if own == BAD:
                         soft.append((len(open_tags), at))
-                        held[at] = [0, 0]
+                        held[at] = [0, 0, bool(SURE_NAMES.intersection(p.lower() for p in NAME_PART.findall(m[3])))]
                 open_tags.append((tag, own or above))
+                is_open[tag] += 1
             heading = bool(re.fullmatch("h[1-6]", tag))
     end_block()
     return out, outside, held
 
 
 def classify(found: list[Block], length_low: int = 70, length_high: int = 200, stop_low: float = 0.15, stop_high: float = 0.30, link_high: float = 0.33) -> list[bool]:
-    """Whether each block is main text."""
-    article = any(b.inside == GOOD for b in found)
-    labels = []
+    """Whether each block is main text.
+
+    Every block goes through both passes. What the page marks is one more thing to go by: where it marks an article, a
+    block outside of it is boilerplate and one inside needs no length or stop words, but for lists of links. An article
+    with less than half as much text as what reads like main text beside it is taken for a teaser, and marks nothing.
+    """
+    by_text = []
     for b in found:
         density = b.links / len(b.text)
-        if b.inside == BAD:
-            labels.append(BAD)
-        elif article:  # the page says where its article is; only lists of links in it go
-            labels.append(BAD if b.inside != GOOD or (b.n_links > 1 and density > 0.8) else GOOD)
-        elif density > link_high or "©" in b.text or re.match(r"copyright\b", b.text, re.I):
-            labels.append(BAD)
+        if b.inside == BAD or density > link_high or "©" in b.text or re.match(r"copyright\b", b.text, re.I):
+            by_text.append(BAD)
         elif len(b.text) < length_low:
-            labels.append(BAD if b.links else OPEN)
+            by_text.append(BAD if b.links else OPEN)
         else:
             words = WORD.findall(b.text.lower())
             stops = sum(w in STOPWORDS for w in words) / max(1, len(words))
             # few stop words may only mean a language that the list doesn't have, so they leave a block open
-            labels.append(GOOD if stops >= stop_high or stops >= stop_low and len(b.text) >= length_high else OPEN)
+            by_text.append(GOOD if stops >= stop_high or stops >= stop_low and len(b.text) >= length_high else OPEN)
+    marked = sum(len(b.text) for b in found if b.inside == GOOD)
+    beside = sum(len(b.text) for b, label in zip(found, by_text, strict=True) if b.inside == OPEN and label == GOOD)
+    article = marked > 0 and 2 * marked >= beside
+    labels = []
+    for b, label in zip(found, by_text, strict=True):
+        if article and b.inside != BAD:
+            label = BAD if b.inside != GOOD or (b.n_links > 1 and b.links / len(b.text) > 0.8) else GOOD
+        elif marked and not article and b.inside == GOOD and label == OPEN:
+            label = BAD  # a teaser's own words
+        labels.append(label)
     if not article and GOOD not in labels:  # nothing is sure: what nothing speaks against
         return [x != BAD for x in labels]
     out, n = [], len(labels)
@@ -267,7 +307,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     schema = ", ".join(f"`{c}` {dict(pages.dtypes)[c]}" for c in columns) + ", text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, len(columns), 1000)):
             texts = pa.array([main_text(h.as_py()) for h in b.column(len(columns))], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=[*columns, "text"])
 
