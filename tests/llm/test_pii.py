@@ -40,6 +40,12 @@ CASES = [
     ("password", "password=b7db7aa4a5fcc78305", r"password=[a-f]\d[a-f0-9]+"),
     ("password", "Token = 'Abc-12xyz", r"Token = '[A-Z][a-z]{2}-\d\d[a-z]{3}"),
     ("password", "secret: ab12cd", r"secret: [a-f]{2}\d\d[a-f]{2}"),
+    ("phone", "+353 1 234 5678", r"\+353 \d [2-9]\d\d \d{4}|\+353 \d \d{3} \d{4}"),
+    ("phone", "+44 20 7946 0958", r"\+44 \d\d \d{4} \d{4}"),
+    ("password", "password: CorrectHorse!Battery", r"password: [A-Z][a-z]{6}[A-Z][a-z]{4}![A-Z][a-z]{6}"),
+    ("password", "api_key: abcdefghijkl", r"api_key: [a-z]{12}"),
+    ("password", 'password": "x1y2z3', r'password": "[a-z]\d[a-z]\d[a-z]\d'),
+    ("name", "my name is Kira Watson", r"my name is [A-Z][a-z]{2}a [A-Z][a-z]{4}n"),
     ("name", "Mrs Mary Smith", r"Mrs \p{L}+ [A-Z][a-z]{3}h"),
     ("name", "Frau Müller", r"Frau [A-Z][ü-üáàâäãåéèêëíìîïóòôöõúù][a-z]{3}r"),
     ("name", "Иван Петров", r"\p{L}+ [А-Я][а-я]{4}в"),
@@ -91,7 +97,7 @@ def test_different_entities_stay_different_and_the_key_matters(spark):
 
 
 def test_plain_text_is_untouched(spark):
-    texts = ["Of OF of. 1,000 units in 2024, version 2.0.0 or 10.5%", "a@b", "", "x" * 100_000, "12345 1-2-3", "é@é.é", "Will Smithson Said", "The secret: nobody knows. Token : word"]
+    texts = ["Of OF of. 1,000 units in 2024, version 2.0.0 or 10.5%", "a@b", "", "x" * 100_000, "12345 1-2-3", "é@é.é", "Will Smithson Said", "The secret: nobody knows. Token : word", "Your password: must be new"]
     assert replaced(spark, texts) == [(t, []) for t in texts]
 
 
@@ -115,3 +121,24 @@ def test_query(spark, sf):
         assert not set(own.findall(r.text)) & set(own.findall(docs[r.doc_id]))
     plan = op10_pii(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_later_mentions_of_a_name(spark):
+    text = "Dr. James Smith spoke. Smith said so, and James agreed with Smithson and jamesish The. My name is Kira Watson; Watson-Jones, Kira."
+    ((new, found),) = replaced(spark, [text])
+    assert [k for k, _ in found] == ["name"] * 6
+    full, last, first, other, part, again = (x for _, x in found)
+    assert full == f"Dr. {first} {last}" and other == f"My name is {again} {part}"
+    rest = new.replace("Smithson", "").replace("jamesish", "")
+    assert "Smithson and jamesish The." in new and f"{part}-Jones" in new and not any(w in rest for w in ("Smith", "James", "Kira", "Watson"))
+    long = "x " * 100_000 + text + " y" * 100_000 + " Smith."
+    ((new, found),) = replaced(spark, [long])
+    assert found[-1][1] == last and new.endswith(f" y {last}.") and len(found) == 7
+
+
+def test_no_tweak_without_clashes(spark, monkeypatch):
+    """The job goes on with the fewest, and says so."""
+    frame = spark.createDataFrame([("1.2.3.4 and 5.6.7.8",)], "text string")
+    monkeypatch.setattr("tracewarden.llm.pii.clashes", lambda docs, key, tweak, text_col: spark.range(3 - tweak))
+    with pytest.warns(UserWarning, match="1 surrogates"):
+        assert distinct_tweak(frame, KEY, tries=3) == 2

@@ -9,12 +9,16 @@ entity gets the same surrogate in every document, whichever way it is punctuated
 their country and never get an area code that starts with 0 or 1, card numbers and IBANs keep their check digits right (or
 wrong), addresses of private networks stay private, and given names become others of the same gender and script.
 
+A name is found by a form of address, a phrase that introduces it, or a listed given name before it; from then on its
+single words are replaced wherever they stand alone in the same text, by the same surrogates.
+
 Before any text is replaced, the distinct entities of all documents are checked for two that would get one surrogate;
 if there are, the next tweak of the key is taken, until there are none.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -22,14 +26,18 @@ from pyspark.sql import functions as F
 
 # Given names by script and gender, and forms of address.
 NAMES = {
-    "latin_male": "James Robert Michael David Thomas Charles Daniel Matthew Anthony Steven Hans Klaus Jürgen Wolfgang Pierre Jacques François Carlos José Miguel".split(),
-    "latin_female": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Ursula Ingrid Sabine Monika Marie Sylvie Françoise María Carmen Lucía".split(),
+    "latin_male": "James Robert Michael David Thomas Charles Daniel Matthew Anthony Steven John William Peter Paul George Richard Joseph Edward Henry Hans Klaus Jürgen Wolfgang Stefan Andreas Pierre Jacques François Philippe Carlos José Miguel Antonio Manuel".split(),
+    "latin_female": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Emma Laura Julia Helen Margaret Emily Charlotte Ursula Ingrid Sabine Monika Marie Sylvie Françoise Sophie María Carmen Lucía Isabel".split(),
     "cyrillic_male": "Иван Сергей Дмитрий Алексей Николай Владимир Андрей Михаил".split(),
     "cyrillic_female": "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана".split(),
     "greek_male": "Γιώργος Κώστας Δημήτρης Νίκος Παναγιώτης".split(),
     "greek_female": "Ελένη Κατερίνα Βασιλική Σοφία Αγγελική".split(),
 }
-TITLES = r"(?:Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Señora|Señor|Sra|Sr|Monsieur|Madame|Mme|Mlle|г-н|г-жа|господин|госпожа|κύριος|κυρία)\.?"
+#: Words after which a name follows, or that come before it, as forms of address do.
+TITLES = r"(?:[Mm]y name is|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Мм]еня зовут|[Nn]ame:|Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Señora|Señor|Sra|Sr|Monsieur|Madame|Mme|Mlle|г-н|г-жа|господин|госпожа|κύριος|κυρία)\.?"
+# Words that start sentences and are no names, and lengths of country codes.
+NO_NAMES = "The This That And But For You She His Her They Der Die Das Und Ein Eine Les Des Une Est Los Las Una Que".split()
+COUNTRY = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 # Letters by script, case and class.
 CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãåéèêëíìîïóòôöõúùûü", "çñß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ")
 
@@ -43,8 +51,8 @@ PATTERNS = {
     "phone": r"(?:\+(?:[17]|\d{2,3})[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|\d{3}([ .\-])\d{3}\1\d{4}(?!\d)|\+\d{1,3}(?:[ .\-]?\d{1,4}){3,6}(?!\d)",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?![0-9A-Za-z])",
-    "password": r"(?i:password|passwd|pwd|secret|api_?key|token)(?: ?= ?[\"']?| ?: ?[\"']?(?=[^\s\"',;]*\d))[^\s\"',;]{3,}[^\s\"',;.!?)\]]",
-    "name": rf"(?=\p{{Lu}}|г|κ)(?:{TITLES} {_WORD}(?: {_WORD})?|(?:{_GIVEN}) {_WORD})",
+    "password": r"(?i:(?:password|passwd|pwd|secret|api_?key|token)[\"']?(?: ?= ?[\"']?| ?: ?[\"']?(?=[^\s\"',;]*\d))|(?:password|passwd|pwd|api_?key)[\"']? ?: ?[\"']?(?=[^\s\"',;]{10}|(?-i:[^\s\"',;]*[a-z][A-Z])[^\s\"',;]*|[^\s\"',;]*[!#$%&*@^]))[^\s\"',;]{3,}[^\s\"',;.!?)\]]",
+    "name": rf"(?=\p{{Lu}}|[гκmnjм])(?:{TITLES} {_WORD}(?: {_WORD})?|(?:{_GIVEN}) {_WORD})",
 }
 #: A telephone number may start with a parenthesis or a plus; nothing starts inside a word.
 ENTITY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(PATTERNS.values()) + ")"
@@ -155,7 +163,7 @@ def _surrogates(key: str, tweak: int) -> dict[str, Callable[[Column], Column]]:
         return _let(_cipher(_but_last(e), prf("card"), _number, skip=1), lambda new: F.concat(new, check(new).cast("string")))
 
     def phone(e: Column) -> Column:
-        country = F.regexp_extract(e, r"^\+(?:[17]|\d{2})[ .\-]?", 0)
+        country = F.regexp_extract(e, rf"^{COUNTRY}[ .\-]?", 0)
         return _let(country, lambda c: F.concat(c, _cipher(F.substring(e, F.length(c) + 1, F.length(e)), prf("phone"), _dialled)))
 
     def iban(e: Column) -> Column:
@@ -170,7 +178,7 @@ def _surrogates(key: str, tweak: int) -> dict[str, Callable[[Column], Column]]:
         return F.when(e.rlike("^(?:AKIA|ASIA)"), tagged).when(e.rlike("^[0-9a-f]+$"), _cipher(e, prf("key"), _hex)).otherwise(_cipher(e, prf("key"), _alnum))
 
     def password(e: Column) -> Column:
-        head = F.regexp_extract(e, r"^[A-Za-z_]+ ?[=:] ?[\"']?", 0)
+        head = F.regexp_extract(e, r"^[A-Za-z_]+[\"']? ?[=:] ?[\"']?", 0)
         return _let(head, lambda h: F.concat(h, _let(F.substring(e, F.length(h) + 1, F.length(e)), secret)))
 
     def word(w: Column) -> Column:
@@ -209,11 +217,11 @@ def same(e: Column, kind: Column) -> Column:
     """What an entity is, however written: digits of numbers, an address in lower case, a name without title."""
     return (
         F.when(kind.isin("card", "ssn"), F.regexp_replace(e, "[^0-9]", ""))
-        .when(kind == "phone", F.regexp_replace(F.regexp_replace(e, r"^\+(?:[17]|\d{2})[ .\-]?", ""), "[^0-9]", ""))
+        .when(kind == "phone", F.regexp_replace(F.regexp_replace(e, rf"^{COUNTRY}[ .\-]?", ""), "[^0-9]", ""))
         .when(kind == "email", F.lower(e))
         .when(kind == "iban", F.regexp_replace(e, " ", ""))
         .when(kind == "name", F.regexp_replace(e, rf"^{TITLES} ", ""))
-        .when(kind == "password", F.regexp_replace(e, r"^[A-Za-z_]+ ?[=:] ?[\"']?", ""))
+        .when(kind == "password", F.regexp_replace(e, r"^[A-Za-z_]+[\"']? ?[=:] ?[\"']?", ""))
         .otherwise(e)
     )
 
@@ -233,11 +241,27 @@ def clashes(docs: DataFrame, key: str, tweak: int, text_col: str = "text") -> Da
 
 
 def distinct_tweak(docs: DataFrame, key: str, text_col: str = "text", tries: int = 8) -> int:
-    """The first tweak of the key under which no two entities of ``docs`` share a surrogate."""
+    """The first tweak of the key under which no two entities of ``docs`` share a surrogate.
+
+    If none of ``tries`` is such, that with the fewest shared surrogates, and a warning that says how many there are.
+    """
+    fewest = None
     for tweak in range(tries):
-        if clashes(docs, key, tweak, text_col).isEmpty():
+        n = clashes(docs, key, tweak, text_col).count()
+        if fewest is None or n < fewest[0]:
+            fewest = n, tweak
+        if n == 0:
             return tweak
-    raise ValueError(f"{tries} tweaks of the key all give two entities one surrogate")
+    warnings.warn(f"{fewest[0]} surrogates stand for more than one entity", stacklevel=2)
+    return fewest[1]
+
+
+def _mentions(found: Column) -> Column:
+    """A pattern for entities that also has the single words of a text's names, wherever they stand alone in it."""
+    names = F.filter(found, lambda e: e.rlike(f"^(?:{PATTERNS['name']})$"))
+    each = F.flatten(F.transform(names, lambda e: F.split(F.regexp_replace(e, rf"^{TITLES} ", ""), " ")))
+    words = F.array_distinct(F.filter(each, lambda w: (F.length(w) > 2) & ~w.isin(NO_NAMES)))
+    return F.when(F.size(words) > 0, F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}_])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}_])")))
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", tweak: int | None = None, entities_col: str = "entities") -> DataFrame:
@@ -248,9 +272,11 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", tweak: int |
     ``tweak``: None looks for the first one without collisions over all rows of ``docs``.
     """
     tweak = distinct_tweak(docs, key, text_col) if tweak is None else tweak
-    text = F.col(text_col)
+    text, pattern = F.col(text_col), F.col("__mentions")
     found = docs.withColumn(entities_col, F.coalesce(entities(text), F.array().cast("array<string>")))
+    found = found.withColumn("__mentions", F.when(F.size(entities_col) > 0, _mentions(F.col(entities_col))))
+    found = found.withColumn(entities_col, F.when(pattern.isNotNull(), F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.col(entities_col)))
     named = found.withColumn(entities_col, F.transform(entities_col, lambda e: _let(kind_of(e), lambda kind: F.struct(kind.alias("kind"), surrogate(e, kind, key, tweak).alias("surrogate")))))
-    between = F.split(text, ENTITY, -1)
+    between = F.split(text, F.coalesce(pattern, F.lit(ENTITY)), -1)
     joined = F.array_join(F.zip_with(between, entities_col, lambda a, e: F.concat(a, F.coalesce(e["surrogate"], F.lit("")))), "")
-    return named.withColumn(text_col, F.when(F.size(entities_col) > 0, joined).otherwise(text))
+    return named.withColumn(text_col, F.when(F.size(entities_col) > 0, joined).otherwise(text)).drop("__mentions")
