@@ -417,6 +417,12 @@ def test_queue(spark):
     assert (f[2].attempts, f[2].next_attempt_at, len(f[2].last_error)) == (3, 107.0, 1024) and f[1].attempts == 1 and f[1].last_error is None
     assert sorted(r.id for r in queue.retain_rows(q, 2).collect()) == [4, 5] and queue.retain_rows(q, 0).count() == 0
     assert sorted(r.id for r in queue.shed_oldest(q, 10, 5).collect()) == [2, 3, 4, 5] and queue.shed_oldest(q, 5, 5) is q
+    held = queue.size_bytes(q)
+    assert held > 0 and queue.shed_oldest(q, None, held) is q and queue.shed_oldest(q, None, held - 1).count() == 4
+    more = queue.insert(q, q.select("payload").limit(2), 9.0)
+    assert more.count() == 7 and more.select("id").distinct().count() == 7 and {r.id > 5 for r in queue.ready(more.where("created_at = 9.0"), 9.0, 5).collect()} == {True}
+    many = q.sparkSession.range(0, 50_000).selectExpr("id * 7 - 1000 as id")
+    assert [queue.id_at(many, k, few=10, parts=16) for k in (1, 2, 25_000, 50_000)] == [-1000, -993, 24_999 * 7 - 1000, 49_999 * 7 - 1000]
 
 
 def test_serving(spark, tmp_path):

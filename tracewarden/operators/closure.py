@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewarden-"))
+    """Write ``df`` to the shared checkpoint folder; only a session on one machine may go without naming one."""
+    sc = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tracewarden-"))
     return df.checkpoint(eager=True)
 
 
@@ -19,11 +22,11 @@ def learned_at(events: DataFrame, agents: DataFrame, host: str = "host", seq: st
     """(host, pid, t): the arrival number at which a pid became known as an agent (-1) or a descendant of one.
 
     ``agents`` has columns host and pid. A pid is learned from its first event after its parent was learned. Each round extends what the round before added,
-    so there are as many rounds as generations; a pid's events never meet in one place but for a minimum.
+    from the edges alone, read once; so there are as many rounds as generations; a pid's events never meet in one place but for a minimum.
     """
-    edges = events.select(F.col(host).alias("host"), F.col(pid).alias("pid"), F.col(ppid).alias("ppid"), F.col(seq).alias("seq")).where("pid is not null and ppid is not null and pid != ppid")
-    known = _cut(agents.select("host", "pid").distinct().withColumn("t", F.lit(-1).cast("long")))
-    front = known
+    edges = _cut(events.select(F.col(host).alias("host"), F.col(pid).alias("pid"), F.col(ppid).alias("ppid"), F.col(seq).alias("seq")).where("pid is not null and ppid is not null and pid != ppid"))
+    known = agents.select("host", "pid").distinct().withColumn("t", F.lit(-1).cast("long"))
+    front, rounds = known, 0
     while True:
         parents = front.select("host", F.col("pid").alias("ppid"), F.col("t").alias("parent_t"))
         found = edges.join(parents, ["host", "ppid"]).where("seq > parent_t").groupBy("host", "pid").agg(F.min("seq").cast("long").alias("t"))
@@ -31,7 +34,10 @@ def learned_at(events: DataFrame, agents: DataFrame, host: str = "host", seq: st
         better = _cut(found.join(old, ["host", "pid"], "left").where("old is null or t < old").select("host", "pid", "t"))
         if better.isEmpty():
             return known
-        known = _cut(known.unionByName(better).groupBy("host", "pid").agg(F.min("t").alias("t")))
+        known = known.unionByName(better).groupBy("host", "pid").agg(F.min("t").alias("t"))
+        rounds += 1
+        if rounds % 4 == 0:  # what is known is small and made of what was cut, so its plan may grow a little
+            known = _cut(known)
         front = better
 
 

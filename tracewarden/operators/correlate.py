@@ -49,17 +49,24 @@ def related(observations: DataFrame, scopes: Column, time: Column, seq: Column,
     bucket = F.floor(F.col("own.t") / window_seconds).cast("long")
     in_scope = base.select("own", F.explode("scopes").alias("scope")).withColumn("bucket", bucket)
     placed = in_scope.select("own", "scope", F.explode(F.array(F.struct("bucket", F.lit(True).alias("asks")), F.struct((F.col("bucket") + 1).alias("bucket"), F.lit(False).alias("asks")))).alias("b")).select("own", "scope", "b.bucket", "b.asks")
-    order = Window.partitionBy("scope", "bucket").orderBy("own.t", "own.seq")
-    before = F.collect_list("own").over(order.rowsBetween(-max_per_scope, -1))
-    alive = F.filter(before, lambda o: o["t"] >= F.col("own.t") - window_seconds)
+    order = Window.partitionBy("scope", "bucket")
+    own = F.col("own")
+    if max_per_scope <= 1024:  # a frame of rows holds no more than is asked for
+        before = F.collect_list("own").over(order.orderBy("own.t", "own.seq").rowsBetween(-max_per_scope, -1))
+        alive = F.filter(before, lambda o: o["t"] >= own["t"] - window_seconds)
+    else:  # a frame of time holds no more than the window
+        before = F.collect_list("own").over(order.orderBy(F.floor(own["t"] * 1_000_000)).rangeBetween(-int(window_seconds * 1_000_000) - 2, 0))  # what is exact follows
+        earlier = F.array_sort(F.filter(before, lambda o: (o["t"] >= own["t"] - window_seconds) & ((o["t"] < own["t"]) | (o["seq"] < own["seq"]))))
+        alive = F.slice(earlier, F.greatest(F.lit(1), F.size(earlier) - max_per_scope + 1), F.lit(max_per_scope))
     scoped = placed.withColumn("before", alive).where("asks").select("own", "before")
     # one row for each observation again: those of its scopes, and itself
     found = scoped.unionByName(base.where(F.size("scopes") == 0).select("own", F.array().cast(scoped.schema["before"].dataType).alias("before")))
-    joined = found.groupBy("own").agg(F.flatten(F.collect_list("before")).alias("before"))
-    ordered = F.concat(F.array_sort("before"), F.array("own"))
-    keys = F.transform(ordered, lambda o: o["key"])
-    first = F.filter(F.transform(ordered, lambda o, k: F.struct(o.alias("o"), (F.array_position(keys, o["key"]) == k + 1).alias("first"))), lambda x: x["first"])
-    return joined.select(F.col("own.seq").alias("seq"), F.transform(first, lambda x: x["o"]).alias("related"))
+    joined = found.groupBy(own["seq"].alias("seq")).agg(F.flatten(F.collect_list("before")).alias("before"), F.first("own").alias("own"))
+    # of equal keys the first: neighbours when sorted by key, then time
+    keyed = F.array_sort(F.transform(F.concat("before", F.array("own")), lambda o: F.struct(o["key"].alias("key"), o["t"].alias("t"), o["seq"].alias("seq"), o["payload"].alias("payload"))))
+    staged = joined.select("seq", keyed.alias("keyed"))
+    first = F.filter("keyed", lambda x, k: (k == 0) | ~F.get("keyed", k - 1)["key"].eqNullSafe(x["key"]))
+    return staged.select("seq", F.array_sort(F.transform(first, lambda o: F.struct(o["t"].alias("t"), o["seq"].alias("seq"), o["key"].alias("key"), o["payload"].alias("payload")))).alias("related"))
 
 
 def severity_rank(severity: str) -> int:

@@ -60,10 +60,9 @@ def dedup_alerts(documents: DataFrame, time_col: str = "seen_at", seq_col: str =
     if not enabled:
         return documents
     alert = F.coalesce(F.col("edr.detection.matched"), F.lit(False))
-    # rows that are no alerts are their own keys, so they spread evenly and never meet
-    key = F.when(alert, alert_key(include_destination_ip)).otherwise(F.concat(F.lit("-"), F.col(seq_col).cast("string")))
     ip, port = F.nullif(F.col("destination.ip"), F.lit("")), F.col("destination.port")
-    found = sessions(documents, key, F.col(time_col), F.col(seq_col), window_seconds, {"ips": ip, "ports": port}, {"first": F.col("`@timestamp`")}, "__", keep_key=True)
+    # only alerts are shuffled and sorted; all else, which is most of it, passes by
+    found = sessions(documents.where(alert), alert_key(include_destination_ip), F.col(time_col), F.col(seq_col), window_seconds, {"ips": ip, "ports": port}, {"first": F.col("`@timestamp`")}, "__", keep_key=True)
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
     dedup = F.struct(
         F.lit(True).alias("enabled"),
@@ -79,7 +78,9 @@ def dedup_alerts(documents: DataFrame, time_col: str = "seen_at", seq_col: str =
         some("__ports").alias("destination_ports"),
         F.when(F.col("__is_duplicate"), F.lit(DUPLICATE)).alias("reason"),
     )
-    out = found.withColumn("edr", F.col("edr").withField("alert", F.when(alert, F.struct(dedup.alias("dedup")))))
+    out = found.withColumn("edr", F.col("edr").withField("alert", F.struct(dedup.alias("dedup"))))
     if mode == "drop":
-        out = out.where(~(alert & F.col("__is_duplicate")))
-    return out.drop("__session", "__count", "__is_duplicate", "__ips", "__ports", "__key", "__first")
+        out = out.where(~F.col("__is_duplicate"))
+    out = out.drop("__session", "__count", "__is_duplicate", "__ips", "__ports", "__key", "__first")
+    none = F.lit(None).cast(out.schema["edr"].dataType["alert"].dataType)
+    return out.unionByName(documents.where(~alert).withColumn("edr", F.col("edr").withField("alert", none)))

@@ -15,8 +15,16 @@ from ..schema import DECODED, RECORD
 _NUMBERS = ("timestamp_ns", "event_type", "pid", "ppid", "uid", "auid", "saddr", "daddr", "sport", "dport", "family")
 
 
-def _text(raw: bytes) -> str:
-    return raw.split(b"\0", 1)[0].decode("utf-8", "ignore")
+def _texts(fields: np.ndarray) -> pa.Array:
+    """Strings of fixed-width fields, up to the first NUL; bytes that can't be decoded are left out."""
+    raw = np.ascontiguousarray(fields).view(np.uint8).reshape(len(fields), -1)
+    ends = raw == 0
+    sizes = np.where(ends.any(axis=1), ends.argmax(axis=1), raw.shape[1])
+    inside = raw[np.arange(raw.shape[1]) < sizes[:, None]]
+    if (inside > 127).any():
+        return pa.array([r[:n].tobytes().decode("utf-8", "ignore") for r, n in zip(raw, sizes.tolist(), strict=True)], pa.string())
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    return pa.StringArray.from_buffers(len(fields), pa.py_buffer(offsets.tobytes()), pa.py_buffer(inside.tobytes()))
 
 
 def decode(df: DataFrame, raw_col: str = "raw", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -37,9 +45,9 @@ def decode(df: DataFrame, raw_col: str = "raw", keep: tuple[str, ...] = ()) -> D
             raw = b"".join(r.as_py()[: RECORD.itemsize] for r in b.column(0))
             rows = np.frombuffer(raw, RECORD)
             columns: dict[str, pa.Array] = {n: pa.array(rows[n].astype(types[n].to_pandas_dtype()), types[n]) for n in _NUMBERS}
-            columns["comm"] = pa.array([_text(v.tobytes()) for v in rows["comm"]])
-            columns["filename"] = pa.array([_text(v.tobytes()) for v in rows["filename"]])
-            columns["argv"] = pa.array([[_text(a.tobytes()) for a in v] for v in rows["argv"]], types["argv"])
+            columns["comm"] = _texts(rows["comm"])
+            columns["filename"] = _texts(rows["filename"])
+            columns["argv"] = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows["argv"].shape[1]), _texts(rows["argv"].reshape(-1)))
             yield pa.RecordBatch.from_arrays([*(columns[n] for n in names), *b.columns[1:]], names=[*names, *keep])
 
     found = df.where(F.length(raw_col) >= RECORD.itemsize).select(raw_col, *keep).mapInArrow(run, schema)
