@@ -175,12 +175,13 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
 
 
 #: No text of one language scored less where this was measured (10,000 documents: 0.53 at least); equal parts of several languages do.
-MIN_SCORE = 0.4
+#: A text of few bytes may say too little, so it is kept however unsure the network is.
+MIN_SCORE, SHORT = 0.4, 400
 
 
 def keep_identified(docs: DataFrame, net: ByteNet | None, text_col: str = "text", min_score: float = MIN_SCORE, wanted: Sequence[str] | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in one language: it has a letter, the network gives its likeliest
-    language at least ``min_score``, and that is one of ``wanted`` (None: any).
+    language at least ``min_score`` (a text of less than ``SHORT`` characters any), and that is one of ``wanted`` (None: any).
 
     Without a network, as where nothing is labelled, every text with a letter stays. Null and empty texts go.
     """
@@ -195,7 +196,7 @@ def keep_identified(docs: DataFrame, net: ByteNet | None, text_col: str = "text"
                     good = [t is not None and any(map(str.isalpha, t)) for t in texts]
                 else:
                     names, scores = predict(model.value, texts)
-                    good = [n != UNKNOWN and s >= min_score and (wanted is None or n in wanted) for n, s in zip(names, scores, strict=True)]
+                    good = [n != UNKNOWN and (s >= min_score or len(t) < SHORT) and (wanted is None or n in wanted) for t, n, s in zip(texts, names, scores, strict=True)]
                 yield part.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
