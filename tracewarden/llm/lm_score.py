@@ -246,7 +246,7 @@ def _vocabulary(counts: DataFrame, frequent: int, words_held: int) -> tuple[Voca
     if not 0 <= frequent <= 255 - ENDINGS:
         raise ValueError("at most 193 words can be classes of their own")
     # all words that occur often enough, so that no more than ``words_held`` ever leave the tasks
-    size = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.shiftleft(F.lit(1).cast("long"), F.floor(F.log2("n")).cast("int")))
+    size = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long"))
     enough, held = None, 0
     for r in sorted(counts.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
         held += r["count"]
