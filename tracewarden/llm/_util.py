@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +36,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Spark's switch for deleting a query's shuffle files when it ends; else they stay until the driver's collector finds them.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: How much a task hands to Python at once. Spark's default of 64 MB is held several times over, by the task and by its worker.
+BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session has ``values`` inside, and its own again after that."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there. What was shuffled for it is deleted, as nothing reads that again."""
-    spark = df.sparkSession
-    shared_folder(spark)
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    shared_folder(df.sparkSession)
+    with settings(df.sparkSession, BATCH_BYTES | {SHUFFLE_CLEANUP: "true"}):
         return df.select("*").checkpoint(eager=True)  # a new plan, as one made before keeps the old setting
-    finally:
-        if before is None:
-            spark.conf.unset(SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def slices(batch: pa.RecordBatch, column: int, rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import cut, shared_folder, slices, small_side
+from ._util import BATCH_BYTES, cut, settings, shared_folder, slices, small_side
 
 #: Lower-cases A-Z; every other byte below 0x80 but digits and letters parts words.
 _FOLD = bytes((c + 32) if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -218,7 +218,8 @@ def store_index(index: DataFrame, path: str | None = None) -> DataFrame:
     """``index`` written as Parquet, in the shared folder if no path is given, and read back."""
     spark = index.sparkSession
     path = path or f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
-    index.write.option("compression", "zstd").parquet(path)
+    with settings(spark, BATCH_BYTES):
+        index.write.option("compression", "zstd").parquet(path)
     return open_index(spark, path)
 
 
