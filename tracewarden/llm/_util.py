@@ -56,9 +56,18 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there. What was shuffled for it is deleted, as nothing reads that again."""
+#: Rows for which a file of its own is worth while.
+FILE_ROWS = 20_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there. What was shuffled for it is deleted, as nothing reads that again.
+
+    Where it is known to have at most ``rows`` short rows, they are written to no more files, by no more tasks, than those fill.
+    """
     shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     with settings(df.sparkSession, BATCH_BYTES | {SHUFFLE_CLEANUP: "true"}):
         return df.select("*").checkpoint(eager=True)  # a new plan, as one made before keeps the old setting
 

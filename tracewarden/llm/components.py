@@ -38,4 +38,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
         limit = hot_limit(2 * state[0])
-        now = cut(_gathered(_hooked(now, limit), limit))
+        now = cut(_gathered(_hooked(now, limit), limit), 2 * state[0])
