@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from fnmatch import fnmatch
 
 import pytest
@@ -405,6 +406,30 @@ def test_scope_keeps_the_newest(spark):
         assert got == want
 
 
+def test_numbers_without_lists(spark):
+    rng = random.Random(5)
+    rows = [doc("curl", "/usr/bin/curl", line=rng.choice(["curl http://a", "curl http://b", None]), pid=rng.choice([1, 2, None]), seq=k, at=float(rng.randrange(40)), ts=f"t{k}", **rng.choice([{}, {"ip": "1.1.1.1", "port": 80}])) for k in range(200)]
+    rows += [(*r[:-1], 1000 + r[-1]) for r in rng.sample(rows, 40)]  # the same events once more
+    d = alerts(spark, rows).where("edr.detection.matched")
+    pid, line = correlate._scope_pair(False)
+    rule = F.col("edr.detection.rule_id")
+    key = scalar.key_hash(F.col("@timestamp"), rule, F.col("process.pid"), F.col("process.command_line"))
+    for window, cap in ((9.0, 1000), (9.0, 2000), (30.0, 7)):
+        seen = correlate.related(d, correlate.alert_scopes(), F.col("seen_at"), F.col("seq"), key, rule, window, cap).collect()
+        want = {r.seq: (len(r.related), sorted({o.payload for o in r.related})) for r in seen}
+        found = correlate.counted(d, pid, line, F.col("seen_at"), F.col("seq"), key, rule, window, cap).collect()
+        assert len(want) > 100 and {r.seq: (r.event_count, r.ids) for r in found} == want
+
+
+def test_dense_scope_in_linear_time(spark):
+    """An observation's lists aren't made where only their number is asked for: 20,000 alerts of one scope within one window."""
+    base = alerts(spark, [doc(**CURL, seq=1), doc(**CURL, seq=2, ip="1.2.3.4", port=80)])
+    many = base.crossJoin(spark.range(10_000).withColumnRenamed("id", "k")).withColumn("seq", F.col("k") * 2 + F.col("seq")).withColumn("@timestamp", F.col("seq").cast("string")).drop("k")
+    begun = time.monotonic()
+    found = correlate.correlate_alerts(many, max_per_scope=100_000, details=False).where("edr.correlation.matched").agg(F.count("*"), F.max("edr.correlation.event_count")).first()
+    assert tuple(found) == (19_999, 20_000) and time.monotonic() - begun < 60
+
+
 # ---- queue and serving
 
 

@@ -6,12 +6,17 @@ seen, its own included, contain all that the rule requires.
 
 At scale, a scope is cut into buckets of time as long as the window: every observation is in its own bucket, and once
 more, as context, in the next. So a busy scope spreads over tasks, and no frame ever looks back beyond a bucket.
+``related`` lists what each observation sees, which grows with the square of a scope's density; ``counted`` gives numbers
+and rule ids alone, in one pass over each sorted bucket.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,6 +74,76 @@ def related(observations: DataFrame, scopes: Column, time: Column, seq: Column,
     return staged.select("seq", F.array_sort(F.transform(first, lambda o: F.struct(o["t"].alias("t"), o["seq"].alias("seq"), o["key"].alias("key"), o["payload"].alias("payload")))).alias("related"))
 
 
+def _placed(rows: DataFrame, scope: str, window_seconds: float) -> DataFrame:
+    """``rows`` sorted by scope, bucket, time and arrival, once to ask (in their own bucket) and once as context. A row without the scope is alone."""
+    bucket = F.floor(F.col("t") / window_seconds).cast("long")
+    alone = F.concat(F.lit("\0"), F.col("seq").cast("string"))
+    twice = F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("asks")), F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("asks")))).alias("b")
+    placed = rows.select(F.coalesce(scope, alone).alias("scope"), twice, *rows.columns).select("scope", "b.bucket", "b.asks", *rows.columns)
+    return placed.repartition("scope", "bucket").sortWithinPartitions("scope", "bucket", "t", "seq")
+
+
+def _look_back(batches: Iterator[pa.RecordBatch], schema: pa.Schema, window_seconds: float, cap: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``_placed`` that ask, each with what it sees added to its n, ids, again and since.
+
+    A set seen is a suffix of the scope so far, so its distinct keys are those whose last occurrence is in it. ``mate`` is
+    the scope that was looked at before, in which the row sees those from ``since`` on: keys in both count once.
+    """
+    now = None
+    for b in batches:
+        out = []
+        for row in zip(*(b.column(c).to_pylist() for c in ("scope", "bucket", "asks", "seq", "t", "key", "rule", "pid", "line", "mate", "n", "ids", "again", "since_t", "since_seq")), strict=True):
+            scope, bucket, asks, seq, t, key, rule, pid, line, mate, n, ids, again, since_t, since_seq = row
+            if (scope, bucket) != now:
+                now, places, latest, of_key, of_rule, of_mate = (scope, bucket), [], [], {}, {}, {}
+            at = (t, seq)
+            if asks and t is not None:
+                start = (t - window_seconds,)
+                if len(places) >= cap:
+                    start = max(start, places[-cap])
+                n += len(latest) - bisect_left(latest, start)
+                if mate in of_mate:
+                    shared = of_mate[mate]
+                    n -= len(shared) - bisect_left(shared, max(start, (since_t,) if since_seq is None else (since_t, since_seq)))
+                again = again or (key in of_key and of_key[key][0] >= start)
+                ids = sorted({*ids, *(r for r, last in of_rule.items() if last >= start)})
+                since_t, since_seq = start if len(start) == 2 else (*start, None)
+            if asks:
+                out.append((seq, t, key, rule, pid, line, scope, n, ids, again, since_t, since_seq))
+            if t is None:
+                continue
+            if key in of_key:
+                old, its_mate = of_key[key]
+                for held in (latest, of_mate.get(its_mate, [])):
+                    if (k := bisect_left(held, old)) < len(held) and held[k] == old:
+                        del held[k]
+            places.append(at)
+            latest.append(at)
+            of_key[key], of_rule[rule] = (at, mate), at
+            if mate is not None:
+                of_mate.setdefault(mate, []).append(at)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def counted(observations: DataFrame, pid: Column, line: Column, time: Column, seq: Column, event_key: Column, rule_id: Column, window_seconds: float, max_per_scope: int = 128) -> DataFrame:
+    """(seq, event_count, ids): how many distinct ones each observation sees, itself included, and their sorted rule ids.
+
+    As ``related`` with the scopes ``pid`` and ``line``, without its lists. ``seq`` must be unique. Observations with equal
+    keys must agree in both scopes (but for what isn't in a key, and the scopes have in common).
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    rows = observations.select(seq.alias("seq"), time.cast("double").alias("t"), F.unhex(event_key).alias("key"), rule_id.alias("rule"), pid.alias("pid"), line.alias("line"))
+    kind = rows.schema["seq"].dataType.simpleString()
+    form = f"seq {kind}, t double, key binary, rule string, pid string, line string, mate string, n long, ids array<string>, again boolean, since_t double, since_seq {kind}"
+    rows = rows.withColumns({"mate": F.lit(None).cast("string"), "n": F.lit(0).cast("long"), "ids": F.array().cast("array<string>"), "again": F.lit(False), "since_t": F.lit(None).cast("double"), "since_seq": F.lit(None).cast(kind)})
+    schema = to_arrow_schema(rows.sparkSession.createDataFrame([], form).schema)
+    for scope in ("line", "pid"):
+        rows = _placed(rows, scope, window_seconds).mapInArrow(lambda batches: _look_back(batches, schema, window_seconds, max_per_scope), form)
+    ids = F.array_sort(F.array_distinct(F.concat("ids", F.array("rule"))))
+    return rows.select("seq", (F.col("n") + F.when(F.col("again"), 0).otherwise(1)).alias("event_count"), ids.alias("ids"))
+
+
 def severity_rank(severity: str) -> int:
     return SEVERITIES.index(severity.lower()) if severity.lower() in SEVERITIES else 0
 
@@ -79,41 +154,48 @@ def primary_rule(observed: Column, rules: list[CorrelationRule]) -> Column:
     return -F.array_max(F.array(*hits))["k"] if rules else F.lit(None).cast("int")
 
 
-def alert_scopes(exclude_placeholders: bool = False) -> Column:
-    """A scope for the host's process id and one for its command line."""
+def _scope_pair(exclude_placeholders: bool) -> tuple[Column, Column]:
     host, line = F.coalesce(F.nullif(F.col("host.hostname"), F.lit("")), F.lit("unknown-host")), F.nullif(F.col("process.command_line"), F.lit(""))
     if exclude_placeholders:
         line = F.when(~line.startswith("unknown ("), line)
     pid = F.concat(F.lit("host:"), host, F.lit(":pid:"), F.col("process.pid").cast("string"))
     cmd = F.concat(F.lit("host:"), host, F.lit(":cmd:"), F.sha2(line.cast("binary"), 256))
-    return F.filter(F.array(pid, cmd), lambda s: s.isNotNull())
+    return pid, cmd
+
+
+def alert_scopes(exclude_placeholders: bool = False) -> Column:
+    """A scope for the host's process id and one for its command line."""
+    return F.filter(F.array(*_scope_pair(exclude_placeholders)), lambda s: s.isNotNull())
 
 
-def correlate_alerts(documents: DataFrame, rules: list[CorrelationRule] | None = None, time_col: str = "seen_at", seq_col: str = "seq", window_seconds: float = 60.0, ignore_duplicates: bool = True, max_per_scope: int = 128, exclude_placeholder_scopes: bool = False) -> DataFrame:
+def correlate_alerts(documents: DataFrame, rules: list[CorrelationRule] | None = None, time_col: str = "seen_at", seq_col: str = "seq", window_seconds: float = 60.0, ignore_duplicates: bool = True, max_per_scope: int = 128, exclude_placeholder_scopes: bool = False, details: bool = True) -> DataFrame:
     """``documents`` with ``edr.correlation`` on alerts for which a correlation rule holds. ``seq_col`` must be unique.
 
-    Equal to the stateful form while event keys are distinct within a scope, as they are after deduplication.
+    Equal to the stateful form while event keys are distinct within a scope, as they are after deduplication. Without
+    ``details`` the node lacks what lists all that an alert sees: first_seen, last_seen, related_processes, related_destinations.
     """
     if not window_seconds > 0:
         raise ValueError("window_seconds must be positive")
     rules = CORRELATIONS if rules is None else rules
+    if not rules:
+        return documents
     rule_id = F.coalesce(F.col("edr.detection.rule_id"), F.col("rule.id"))
     alert = F.coalesce(F.col("edr.detection.matched"), F.lit(False)) & F.coalesce(rule_id != "", F.lit(False))
     if ignore_duplicates and "alert" in documents.select("edr.*").columns:
         alert = alert & ~F.coalesce(F.col("edr.alert.dedup.is_duplicate"), F.lit(False))
     fields = {"ts": F.col("`@timestamp`"), "rule_id": rule_id, "pid": F.col("process.pid"), "ppid": F.col("process.parent.pid"), "name": F.col("process.name"), "executable": F.col("process.executable"), "command_line": F.col("process.command_line"), "ip": F.col("destination.ip"), "port": F.col("destination.port")}
-    payload = F.struct(*[v.alias(k) for k, v in fields.items()])
     key = key_hash(*fields.values(), missing="None")
-    seen = related(documents.where(alert), alert_scopes(exclude_placeholder_scopes), F.col(time_col), F.col(seq_col), key, payload, window_seconds, max_per_scope)
-    all_ids = F.array_sort(F.array_distinct(F.transform("related", lambda o: o["payload"]["rule_id"])))
-    hit = seen.withColumn("ids", all_ids).withColumn("k", primary_rule(F.col("ids"), rules)).where("k is not null")
-    rule = F.get(F.array(*[F.struct(F.lit(r.id).alias("id"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), F.lit(r.summary).alias("summary")) for r in rules]), F.col("k")) if rules else None
-    if rule is None:
-        return documents
-    own = F.element_at("related", -1)["payload"]
-    times = F.filter(F.transform("related", lambda o: o["payload"]["ts"]), lambda t: t.isNotNull())
-    processes = F.array_distinct(F.transform("related", lambda o: F.struct(*[o["payload"][c].alias(c) for c in ("pid", "ppid", "name", "executable", "command_line")])))
-    destinations = F.array_distinct(F.filter(F.transform("related", lambda o: F.struct(o["payload"]["ip"].alias("ip"), o["payload"]["port"].alias("port"))), lambda d: d["ip"].isNotNull() | d["port"].isNotNull()))
+    alerts, time, seq = documents.where(alert), F.col(time_col), F.col(seq_col)
+    hit = counted(alerts, *_scope_pair(exclude_placeholder_scopes), time, seq, key, rule_id, window_seconds, max_per_scope).withColumn("k", primary_rule(F.col("ids"), rules)).where("k is not null")
+    rule = F.get(F.array(*[F.struct(F.lit(r.id).alias("id"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), F.lit(r.summary).alias("summary")) for r in rules]), F.col("k"))
+    listed = []
+    if details:
+        payload = F.struct(*[v.alias(k) for k, v in fields.items()])
+        hit = hit.join(related(alerts, alert_scopes(exclude_placeholder_scopes), time, seq, key, payload, window_seconds, max_per_scope), "seq")
+        times = F.filter(F.transform("related", lambda o: o["payload"]["ts"]), lambda t: t.isNotNull())
+        processes = F.array_distinct(F.transform("related", lambda o: F.struct(*[o["payload"][c].alias(c) for c in ("pid", "ppid", "name", "executable", "command_line")])))
+        destinations = F.array_distinct(F.filter(F.transform("related", lambda o: F.struct(o["payload"]["ip"].alias("ip"), o["payload"]["port"].alias("port"))), lambda d: d["ip"].isNotNull() | d["port"].isNotNull()))
+        listed = [F.array_min(times).alias("first_seen"), F.array_max(times).alias("last_seen"), processes.alias("related_processes"), destinations.alias("related_destinations")]
     node = hit.withColumn("r", rule).select(
         F.col("seq").alias("__seq"),
         F.struct(
@@ -125,18 +207,12 @@ def correlate_alerts(documents: DataFrame, rules: list[CorrelationRule] | None =
             F.col("r.severity").alias("severity"),
             F.col("r.summary").alias("summary"),
             F.lit(float(window_seconds)).alias("window_seconds"),
-            F.size("related").cast("long").alias("event_count"),
+            F.col("event_count"),
             F.col("ids").alias("related_rules"),
-            F.array_min(times).alias("first_seen"),
-            F.array_max(times).alias("last_seen"),
-            processes.alias("related_processes"),
-            destinations.alias("related_destinations"),
+            *listed,
         ).alias("__node"),
-        own["pid"].alias("__pid"),
-        own["ppid"].alias("__ppid"),
-        own["command_line"].alias("__line"),
     )
     joined = documents.join(node, documents[seq_col] == node["__seq"], "left")
-    ident = key_hash(F.col("__node.rule_id"), F.col("host.hostname"), F.col("__pid"), F.col("__ppid"), F.col("__line"), F.array_join("__node.related_rules", ","), missing="None")
+    ident = key_hash(F.col("__node.rule_id"), F.col("host.hostname"), F.col("process.pid"), F.col("process.parent.pid"), F.col("process.command_line"), F.array_join("__node.related_rules", ","), missing="None")
     correlation = F.when(F.col("__seq").isNotNull(), F.col("__node").withField("correlation_id", ident))
-    return joined.withColumn("edr", F.col("edr").withField("correlation", correlation)).drop("__seq", "__node", "__pid", "__ppid", "__line")
+    return joined.withColumn("edr", F.col("edr").withField("correlation", correlation)).drop("__seq", "__node")

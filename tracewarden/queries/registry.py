@@ -443,7 +443,7 @@ def correlate_primary(spark, d):
 def correlate_alerts(spark, d):
     docs = detect(fixtures.documents(_t(spark, d, "events")), CATALOGUE)
     marked = dedup.dedup_alerts(docs, window_seconds=_ALERT_WINDOW)
-    out = correlate.correlate_alerts(marked, window_seconds=30 * 3600.0, max_per_scope=100_000).where("edr.correlation.matched")
+    out = correlate.correlate_alerts(marked, window_seconds=30 * 3600.0, max_per_scope=100_000, details=False).where("edr.correlation.matched")
     c = F.col("edr.correlation")
     return out.select("seq", c["event_count"].alias("n"), F.array_join(c["related_rules"], ",").alias("rules"), c["rule_id"].alias("corr"))
 
