@@ -1,10 +1,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tracewarden.llm import jaccard
 from tracewarden.llm.jaccard import near_copies, node_and_shingles
-from tracewarden.llm.simhash import near_duplicates
+from tracewarden.llm.simhash import fingerprint, near_duplicates
 
 
 def slow_sets(texts):
@@ -54,3 +56,15 @@ def test_groups_of_copies_against_all_pairs(spark, edits):
 def test_shingles():
     assert node_and_shingles(None, 5)[0] == 0 and len(node_and_shingles(b"a b", 5)[1]) == 1
     assert len(node_and_shingles(b"a b c d e f a b c d e", 5)[1]) == 6
+
+
+def test_simhash_links_without_minhash(spark, monkeypatch):
+    """Near copies within four bits are joined by their fingerprints alone, and only if the sets of shingles are alike."""
+    words = [f"w{k}" for k in range(600)]
+    texts = [" ".join(words), " ".join([*words[:300], "new", *words[301:]]), " ".join(reversed(words)), " ".join(words).upper()]
+    assert (fingerprint(texts[0].encode()) ^ fingerprint(texts[1].encode())).bit_count() <= 4
+    sketches = jaccard._sketches
+    monkeypatch.setattr(jaccard, "_sketches", lambda *a: sketches(*a).withColumn("keys", F.array().cast("array<long>")))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies(frame).collect()} == {0: 0, 1: 0, 2: 2, 3: 0}
+    assert {r.doc_id: r.component_id for r in near_copies(frame, least=0.999).collect()} == {0: 0, 1: 1, 2: 2, 3: 0}

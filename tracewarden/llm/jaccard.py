@@ -1,8 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash candidates, every link verified.
+"""Near copies: SimHash links and, for what those can't reach, MinHash candidates; every link verified by Jaccard similarity.
 
-A text's shingles are five words in a row. Texts of the same words are one node. Each node has ``BANDS`` keys, each from
-the least values of ``ROWS`` hash orders of its shingles; a pair of similarity 0.8 shares no key in three of a million
-cases. Nodes that share a key are candidates, and a candidate is a link only if the similarity of the whole sets of
+A text's shingles are five words in a row. Texts of the same words are one node. Nodes whose fingerprints
+``simhash.near_links`` joins are the first candidates. Each node also has ``BANDS`` keys, each from the least values of ``ROWS`` hash orders of its
+shingles; a pair of similarity 0.8 shares no key in three of a million cases. Nodes that share a key are candidates, and a candidate is a link only if the similarity of the whole sets of
 shingles is high enough. A bucket's nodes are first compared with the least of them; after that the buckets
 whose nodes aren't one component yet are brought together, in parts of bounded size, and each node is compared with all
 others through an index of their shingles. Only links of a spanning forest come out. So no link between candidates is
@@ -21,6 +21,7 @@ from xxhash import xxh64_intdigest
 
 from ._util import cut, hot_limit, join_counted, slices
 from .components import components
+from .simhash import fingerprint, near_links
 
 BANDS, ROWS = 32, 5
 #: A part of a bucket has about this many nodes and shingles at most (one larger text is a part of its own).
@@ -52,19 +53,20 @@ def keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, keep: str | None) -> DataFrame:
-    """(doc_id, kept, node, size, keys), a row for each row of ``docs``."""
+    """(doc_id, kept, node, size, keys, fingerprint), a row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole, 1, 2000)):
-            nodes, sizes, found = np.zeros(b.num_rows, np.uint64), [], []
+            nodes, prints, sizes, found = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), [], []
             for k, t in enumerate(b.column(1)):
                 nodes[k], s = node_and_shingles(t.as_py(), shingle)
+                prints[k] = fingerprint(t.as_py())
                 sizes.append(len(s))
                 found.append(keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "kept", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(prints.view(np.int64))], names=["doc_id", "kept", "node", "size", "keys", "fingerprint"])
 
     kept = F.col(keep) if keep else F.lit(None).cast("string")
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"), kept.cast("string")).mapInArrow(run, "doc_id long, kept string, node long, size long, keys array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"), kept.cast("string")).mapInArrow(run, "doc_id long, kept string, node long, size long, keys array<long>, fingerprint long")
 
 
 def _sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame) -> DataFrame:
@@ -92,6 +94,16 @@ def _sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame) -> Da
     return once.mapInArrow(run, "node long, shingles array<long>")
 
 
+def _simhash_pairs(nodes: DataFrame, limit: int) -> DataFrame:
+    """(a, b): the least node of each fingerprint with its other nodes, and with the least nodes of fingerprints linked to it."""
+    nodes = nodes.where("size > 0").select("node", "fingerprint")
+    prints = cut(nodes.groupBy("fingerprint").agg(F.min("node").alias("rep"), F.count("*").alias("n")))
+    shared = join_counted(nodes, prints, "fingerprint", limit).where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    one, two = (prints.select(F.col("fingerprint").alias(c), F.col("rep").alias(f"{c}_rep")) for c in ("a", "b"))
+    linked = cut(near_links(prints)).join(one, "a").join(two, "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    return shared.unionByName(linked)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
 
@@ -173,20 +185,23 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[p
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, keep: str | None = None) -> DataFrame:
     """(doc_id, component_id, root): component_id is the least id reachable over links, the document's own included.
 
-    A link is a Jaccard similarity of at least ``least``. A row for each row of ``docs``; null ids, repeated rows and
+    A link is a Jaccard similarity of at least ``least``; candidates are SimHash links and MinHash buckets. A row for each row of ``docs``; null ids, repeated rows and
     texts without words are treated as in ``simhash.near_duplicates``. ``root`` names the component, whatever its ids
     are; ``keep`` is a column to be kept, as a string.
     """
     each = cut(_sketches(docs, id_col, text_col, shingle, keep))
-    nodes = cut(each.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count("*").alias("n")))
+    nodes = cut(each.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("fingerprint").alias("fingerprint"), F.count("*").alias("n")))
     n_nodes = nodes.count()
     limit = hot_limit(BANDS * n_nodes)
     rows = nodes.select("node", "size", F.explode("keys").alias("k"))
     hubs = rows.groupBy("k").agg(F.min(F.struct("node", "size")).alias("hub"), F.max("node").alias("last"), F.count("*").alias("n")).where("hub.node != last").drop("last")
     live = cut(join_counted(rows, cut(hubs), "k", limit))
     similar = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)
-    sets = cut(_sets(docs, text_col, shingle, live.select("node").distinct()))
-    first = live.where("node != hub.node").where(similar(F.col("size"), F.col("hub.size"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    prints = cut(_simhash_pairs(nodes, hot_limit(n_nodes)))
+    wanted = live.select("node").unionByName(prints.select(F.col("a").alias("node"))).unionByName(prints.select(F.col("b").alias("node")))
+    sets = cut(_sets(docs, text_col, shingle, wanted.distinct()))
+    hubbed = live.where("node != hub.node").where(similar(F.col("size"), F.col("hub.size"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    first = prints.unionByName(hubbed).distinct()
     links = cut(_verified(first, sets, least))
     roots = components(links)
     label = F.coalesce("root", "node").alias("root")

@@ -19,7 +19,6 @@ from xxhash import xxh64_intdigest
 
 from ._util import cut, hot_limit, join_counted, row_key, slices, small_side
 from .components import components
-from .jaccard import near_copies
 
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
 
@@ -184,6 +183,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     are equal in everything one stays. Texts stay where they are if the rows that go are few enough to be broadcast,
     which is checked; else they are shuffled once.
     """
+    from .jaccard import near_copies  # which needs this module's links
+
     keyed = docs.withColumn("__row", row_key(docs))
     found = cut(near_copies(keyed, id_col, text_col, keep="__row"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__row").alias("row"))).alias("first"))
