@@ -90,3 +90,12 @@ def test_query(spark, sf):
         assert r.doc_tokens == len(docs[r.doc_id])
         seen[r.doc_id] += r.length
     assert seen == {d: len(i) for d, i in docs.items()}
+
+
+def test_a_chunk_is_encoded_once():
+    encoder = ChunkEncoder(tokenizer_path())
+    asked, once = [], encoder.chunk
+    encoder.known.missing = lambda c: asked.append(c) or once(c)
+    texts = ["the Cat, the cat\nÉté! 12 the", None, "cat, 12 été " + "7" * 70] * 2
+    assert encoder.encode(texts) == [array("I", encoder.tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes() for t in texts]
+    assert sorted(asked) == sorted(["the", "cat,", "12", "été!", "7" * 70, "7" * 70])  # but for long ones

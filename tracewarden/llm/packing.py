@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 from array import array
 from bisect import bisect_right, insort
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import islice
 from operator import itemgetter
 from string import punctuation
@@ -51,7 +51,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.keep = keep
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = _Known(self.chunk, [("", b"")])
         self.marks: dict[str, bytes] = {"": b""}
 
     @classmethod
@@ -71,38 +71,49 @@ class ChunkEncoder:
         text = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
         return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk that isn't known; it is from now on, unless it is long and no word."""
+        stem = chunk.rstrip(punctuation)
+        # below U+0100 a letter's lower case is one letter, and composing changes nothing
+        if not (stem.isalpha() and (stem.isascii() or max(stem) < "\u0100")):
+            ids = next(self._each([chunk]))
+            if len(chunk) <= 64:
+                self.known[chunk] = ids
+            return ids
+        word = stem.lower()
+        ids = None if word == chunk else self.known.get(word)
+        if ids is None:
+            ids = self.known[word] = self._word(word)
+        if chunk != word:
+            mark = chunk[len(word) :]
+            if mark not in self.marks:
+                self.marks[mark] = next(self._each([mark]))
+            ids = self.known[chunk] = ids + self.marks[mark]
+        return ids
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
-        split = [_lowered(t or "").replace("\n", " ").split(" ") for t in texts]
-        known, marks = self.known, self.marks
-        words, plain, others = [], [], []
-        for c in set().union(*split).difference(known):
-            stem = c.rstrip(punctuation)
-            # below U+0100 a letter's lower case is one letter, and composing changes nothing
-            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
-                words.append(c)
-                plain.append(stem.lower())
-            else:
-                others.append(c)
-        for w in set(plain).difference(known):
-            known[w] = self._word(w)
-        known.update(zip(others, self._each(others), strict=True))
-        for c, w in zip(words, plain, strict=True):
-            if c != w:
-                mark = c[len(w) :]
-                if mark not in marks:
-                    marks[mark] = next(self._each([mark]))
-                known[c] = known[w] + marks[mark]
-        out = [b"".join(itemgetter(*chunks)(known)) if len(chunks) > 1 else known[chunks[0]] for chunks in split]
-        if len(known) > self.keep:
-            self.known = dict(islice(known.items(), self.keep // 2))
+        out = []
+        for t in texts:
+            chunks = _lowered(t or "").replace("\n", " ").split(" ")
+            out.append(b"".join(itemgetter(*chunks)(self.known)) if len(chunks) > 1 else self.known[chunks[0]])
+        if len(self.known) > self.keep:
+            self.known = _Known(self.chunk, islice(self.known.items(), self.keep // 2))
             self.marks = {"": b""}
-        for c in others:
-            if len(c) > 64:
-                self.known.pop(c, None)
         return out
 
 
+class _Known(dict):
+    """Values by key; ``missing`` gives what isn't there, and keeps it or not."""
+
+    def __init__(self, missing: Callable, items: Iterable):
+        super().__init__(items)
+        self.missing = missing
+
+    def __missing__(self, key):
+        return self.missing(key)
+
+
 def _lowered(text: str) -> str:
     """``text``, in lower case if it has no character from U+0100 on: the tokenizer does no more to the case of such a text.
 
