@@ -3,6 +3,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tracewarden.llm import lm_score
 from tracewarden.llm.decontaminate import words
 from tracewarden.llm.lm_score import DISCOUNT, LanguageModel, Trainer, Vocabulary, WindowNet, _around, _fit, _scored, ending, fit, number, padded, score, word_counts
 from tracewarden.llm.queries import op3_lm_score
@@ -167,3 +168,29 @@ def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
     empty = fit(docs.limit(0))
     assert isinstance(empty, LanguageModel) and score(docs.limit(0), empty).count() == 0
     assert [r.n_tokens for r in score(docs.where("doc_id = 3 and length(text) = 3"), empty).collect()] == [2]
+
+
+def test_step_is_the_gradient_of_a_softmax():
+    """One step, against sums over a matrix of which class stands where; large weights are shifted before exp."""
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 20, 300).astype(np.uint8)
+    for scale in (1.0, 400.0):
+        net = lm_score.WindowNet.fresh(20, 4, np.ones(20) / 20, 1)
+        net.out *= np.float32(scale)
+        h = net.inner(ids)
+        z = (h @ net.out + net.bias).astype(float)
+        assert np.allclose(np.exp(net.logits(h[:5])) / np.exp(net.logits(h[:5])).sum(axis=1, keepdims=True), np.exp(z[:5] - z[:5].max(axis=1, keepdims=True)) / np.exp(z[:5] - z[:5].max(axis=1, keepdims=True)).sum(axis=1, keepdims=True), atol=1e-4)
+        part, places = lm_score._around(ids, 0, 300)
+        p = np.exp(z[places] - z[places].max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(places)), part[places]] -= 1
+        p /= len(places)
+        back = np.zeros((300, 4))
+        back[places] = (p @ net.out.T) * (1 - h[places] ** 2)
+        moved = np.zeros((300, 16))
+        for k, o in enumerate(lm_score.OFFSETS):
+            moved[slice(0, o) if o < 0 else slice(o, None), k * 4 : k * 4 + 4] = back[-o:] if o < 0 else back[:-o]
+        want = np.stack([moved[part == c].sum(axis=0) for c in range(20)])
+        trainer = lm_score.Trainer(net)
+        trainer.step(part, places)
+        assert np.allclose(trainer.mean[0], 0.1 * want, rtol=1e-3, atol=1e-5 * scale)

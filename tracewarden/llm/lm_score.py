@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -126,14 +127,20 @@ class WindowNet:
                 h[:-o] += part[o:]
         return np.tanh(h, out=h)
 
+    def logits(self, h: np.ndarray) -> np.ndarray:
+        """Of the classes, for hidden layers ``h``; shifted by each row's greatest only if they might be too large for exp."""
+        z = h @ self.out
+        z += self.bias
+        if np.abs(self.out).sum(axis=0).max() + np.abs(self.bias).max() > 30:  # |h| is at most 1
+            z -= z.max(axis=1, keepdims=True)
+        return z
+
     def log_prob(self, ids: np.ndarray) -> np.ndarray:
         """Of the class at each place of ``ids``, given those around it; 0 at pads."""
         out = np.zeros(len(ids))
         for a in range(0, len(ids), 4096):
             part, places = _around(ids, a, a + 4096)
-            z = self.inner(part)[places] @ self.out
-            z += self.bias
-            z -= z.max(axis=1, keepdims=True)
+            z = self.logits(self.inner(part)[places])
             own = z[np.arange(len(places)), part[places]]
             out[max(0, a - REACH) + places] = own - np.log(np.exp(z, out=z).sum(axis=1))
         return out
@@ -160,13 +167,10 @@ class Trainer:
         if not n:
             return
         h = net.inner(ids)[places]
-        p = h @ net.out
-        p += net.bias
-        p -= p.max(axis=1, keepdims=True)
+        p = net.logits(h)
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), ids[places]] -= 1
-        p /= n
+        p *= 1 / (n * p.sum(axis=1, keepdims=True))
+        p[np.arange(n), ids[places]] -= 1 / n
         back = np.zeros((len(ids), width), h.dtype)
         back[places] = (p @ net.out.T) * (1 - h * h)
         moved = np.zeros((len(ids), len(OFFSETS) * width), h.dtype)  # by the word that was looked at
@@ -176,12 +180,14 @@ class Trainer:
                 part[:o] = back[-o:]
             else:
                 part[o:] = back[:-o]
-        which = np.zeros((len(ids), len(net.context)), h.dtype)
-        which[np.arange(len(ids)), ids] = 1
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[order], prepend=ids[order[:1]] ^ 1))
+        context = np.zeros_like(net.context)
+        context[ids[order[first]]] = np.add.reduceat(moved[order], first, axis=0)
         self.steps += 1
         self.places += n
         rate = self.rate / (1 + self.steps / self.half)
-        for q, g, m, s in zip(net.params(), [which.T @ moved, back.sum(axis=0), h.T @ p, p.sum(axis=0)], self.mean, self.square, strict=True):
+        for q, g, m, s in zip(net.params(), [context, back.sum(axis=0), h.T @ p, p.sum(axis=0)], self.mean, self.square, strict=True):
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
             q -= rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-6)
@@ -279,14 +285,14 @@ def number(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
                 split = [words(t) for t in part.column(1).to_pylist()]
                 sizes = np.array([len(ws) for ws in split], np.int64)
                 flat = [w for ws in split for w in ws]
-                at = np.fromiter((get(w, none) for w in flat), np.int64, len(flat))
+                at = np.fromiter(map(get, flat, repeat(none)), np.int64, len(flat))
                 classes, doc = v.classes[at], np.repeat(np.arange(len(split)), sizes)
                 inner = np.bincount(doc, v.shares[at], len(split)).astype(float)  # of no words, whole numbers
                 places = np.flatnonzero(at == none)
                 rare = [flat[k] for k in places.tolist()]
-                endings = np.fromiter(map(ending, rare), np.int64, len(rare))
+                endings = 1 + np.fromiter(map(zlib.crc32, [w[-3:] for w in rare]), np.int64, len(rare)) % ENDINGS  # as in ``ending``
                 classes[places] = endings
-                hashes = np.fromiter((xxh64_intdigest(w, 42) for w in rare), np.uint64, len(rare)).view(np.int64)
+                hashes = np.fromiter(map(xxh64_intdigest, rare, repeat(42)), np.uint64, len(rare)).view(np.int64)
                 order = np.lexsort((hashes, doc[places]))
                 same = (hashes[order][1:] == hashes[order][:-1]) & (doc[places][order][1:] == doc[places][order][:-1])
                 first = np.flatnonzero(np.r_[True, ~same]) if len(rare) else np.zeros(0, np.int64)
